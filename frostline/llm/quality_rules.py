@@ -26,7 +26,7 @@ from .common import parts, table, tune
 STATS = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "other_share")
 P = len(STATS)
 #: Least standard deviation of each transformed statistic.
-FLOOR = (0.3, 0.05, 0.08, 0.15, 0.15, 0.05, 0.05, 0.05)
+FLOOR = (1.0, 0.05, 0.08, 0.15, 0.15, 0.05, 0.05, 0.05)
 #: Added to denominators, so shares of very short texts shrink towards 0.
 SHORT_CHARS = 200
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -94,7 +94,7 @@ def _statistics(b: pa.RecordBatch) -> pa.RecordBatch:
     chars, some = word_chars + SHORT_CHARS, n_words + SHORT_CHARS // 5  # one number in a ten-word text is no outlier
     letters = _by_doc(_LETTER[data] & head, off)
     vec = (
-        np.log1p(n_words), np.log((word_chars + 1) / (n_words + 1)), np.sqrt(n_symbols / chars), np.sqrt(n_dup_lines / np.maximum(n_lines, 1)), np.sqrt(n_repeat / some),
+        np.log1p(n_words), np.log((word_chars + SHORT_CHARS) / (n_words + SHORT_CHARS / 5)), np.sqrt(n_symbols / chars), np.sqrt(n_dup_lines / np.maximum(n_lines, 1)), np.sqrt(n_repeat / some),
         _by_doc(_UPPER[data], off) / chars, _by_doc(_DIGIT[data], off) / chars, (word_chars - letters) / chars,
     )
     base = (n_words, word_chars, n_symbols, n_dup_lines, n_repeat)

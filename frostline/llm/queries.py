@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .language_id import language_id
+from .lm_scoring import lm_score
 from .quality_rules import quality_rules
 
 
@@ -19,8 +20,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -10,6 +10,7 @@ from .common import documents
 from .language_id import language_id
 from .lm_scoring import lm_score
 from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +25,14 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

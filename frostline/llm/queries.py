@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .language_id import language_id
 from .lm_scoring import lm_score
+from .near_dedup import near_dedup
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
@@ -29,7 +30,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
     "op8_lm_scoring": op8_lm_scoring,

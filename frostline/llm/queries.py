@@ -10,6 +10,7 @@ from .common import documents
 from .language_id import language_id
 from .lm_scoring import lm_score
 from .near_dedup import near_dedup
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
@@ -34,11 +35,16 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}

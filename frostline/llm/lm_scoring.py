@@ -48,6 +48,24 @@ def unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(b, b[:2].decode(), offset=2).astype(np.int64)
 
 
+def pack_sorted(h: np.ndarray) -> bytes:
+    """Sorted 64-bit hashes as gaps, in as few bytes each as the largest gap takes, byte by byte of all."""
+    gap = np.diff(h, prepend=tk.U(0))
+    head, gap = gap[:1], gap[1:]
+    width = (int(gap.max()).bit_length() + 7) // 8 if len(gap) else 0
+    return bytes([width]) + head.tobytes() + np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    if len(b) == 1:
+        return np.zeros(0, np.uint64)
+    width, head = b[0], np.frombuffer(b, np.uint64, 1, 1)
+    planes = np.frombuffer(b, np.uint8, offset=9).reshape(width, -1) if width else np.zeros((0, 0), np.uint8)
+    gap = np.zeros((planes.shape[1], 8), np.uint8)
+    gap[:, :width] = planes.T
+    return np.cumsum(np.concatenate([head, gap.view(np.uint64).ravel()]))
+
+
 @dataclass
 class Tokens:
     """Tokens of a block: first[d]:first[d+1] are document d's, its end token last."""
@@ -97,7 +115,7 @@ def _ask(t: pa.Table, shards: int) -> pa.Table:
         cols["shard"].append(s)
         for name, (u, a, k, cut) in held.items():
             own = slice(cut[s], cut[s + 1])
-            cols[name].append(u[own].tobytes())
+            cols[name].append(pack_sorted(u[own]))
             cols[f"{name}_all"].append(pack(a[own]))
             cols[f"{name}_kept"].append(pack(k[own]))
     block = pa.array([t.column("block")[0].as_py()] * shards, pa.int32())
@@ -110,7 +128,7 @@ def _answer(t: pa.Table) -> pa.Table:
     out: dict[str, list] = {}
     known = tokens = kept_tokens = 0
     for name in ("one", "two"):
-        asked = [np.frombuffer(x, np.uint64) for x in t.column(name).to_pylist()]
+        asked = [unpack_sorted(x) for x in t.column(name).to_pylist()]
         cut = np.cumsum([0, *map(len, asked)])
         h = np.concatenate(asked)
         order = np.argsort(h, kind="stable")

@@ -12,6 +12,7 @@ from .lm_scoring import lm_score
 from .near_dedup import near_dedup
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
 
 
@@ -39,8 +40,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
     "op8_lm_scoring": op8_lm_scoring,

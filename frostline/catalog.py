@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import annealing, centers, pairs, reductions, text, tools  # noqa: F401  (they register themselves)
+from .plans.registry import ORACLE_SQL, QUERIES
 
 
 def flagship(spark, sf_dir):
+    """Distances, one EM step on hard groups, relabelled counts."""
     return QUERIES["q14_counts"](spark, sf_dir)

@@ -6,11 +6,11 @@ population count of the XOR of two bitmaps estimates how many values differ, so
 told apart precisely.  Only pairs more than five standard deviations below the threshold are dropped there; the others are
 confirmed on the full sets.
 
-Candidates without pairing groups with themselves: equal sets are one class.  In every bucket a pivot is compared with the
-members.  Confirmed links are contracted to components; a bucket with one component is finished.  In the others up to
-``PIVOTS`` members outside the largest component are compared with all members of other components and then leave
-the bucket, until no bucket has two components.  So each pair of a bucket is compared or already connected,
-a round makes at most ``PIVOTS`` pairs a member, and a large group of copies is done after the first.
+Candidates without pairing groups with themselves: equal sets are one class.  In every bucket the smallest id is compared with the
+members, and confirmed links are contracted to components; a bucket with one component is finished, as a large group of copies mostly is.
+In the others only members outside the largest component are queries against the members: pair by pair in small buckets, and in large ones
+in blocks of bounded size, where a task computes exact intersections from the blocks' full sets and returns one link for each component met.  So each pair of a
+bucket is compared or already connected, and no pair is a row but those of small buckets, pivots, and links.
 
 Defined results: null, empty or word-less text has n_shingles 0 and component_id doc_id; a null id links with nothing (component null, kept);
 rows that repeat an id belong to one document, and its last row in hash order stands for it in links.
@@ -30,7 +30,10 @@ from .components import contract
 
 BANDS, ROWS = 32, 6
 SKETCH_WORDS = 8
-PIVOTS = 16
+#: Buckets up to this size are compared pair by pair, larger ones in blocks.
+SMALL_BUCKET = 32
+#: Shingles of the documents in one block of a large bucket.
+BLOCK_SHINGLES = 300_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | tk.U(1)
 _B = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -121,6 +124,29 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _search(t: pa.Table, percent: int) -> pa.Table:
+    """Links of the queries of a block to its base rows, exact, one for each component met."""
+    t = t.combine_chunks()
+    doc, root, query = (t.column(c).to_numpy() for c in ("doc", "root", "query"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+    base = np.flatnonzero(~query)
+    size = np.array([len(sets[i]) for i in base], np.int64)
+    flat = np.concatenate([sets[i] for i in base] or [np.zeros(0, np.uint64)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(base)), size)[order]
+    a, b = [], []
+    for i in np.flatnonzero(query):
+        lo, hi = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(base))
+        near = np.flatnonzero((100 * common >= percent * (len(sets[i]) + size - common)) & (root[base] != root[i]))
+        for j in near[np.unique(root[base][near], return_index=True)[1]].tolist():
+            a.append(min(doc[i], doc[base[j]]))
+            b.append(max(doc[i], doc[base[j]]))
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def near_dedup(docs: DataFrame, shingle_words: int = 4, percent: int = 80, broadcast_ids: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for docs(doc_id, text); links at Jaccard >= percent / 100 of the shingle sets."""
     spark = docs.sparkSession
@@ -148,25 +174,25 @@ def near_dedup(docs: DataFrame, shingle_words: int = 4, percent: int = 80, broad
         full = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
         return table(full.select("a", "b", "sa", "sb").mapInArrow(lambda x: _confirm(x, percent), "a long, b long"), "mh-links")
 
-    labels = spark.createDataFrame([], "node long, root long")
-    labels = contract(labels, linked(members.where("pivot < doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))))
-    left = members.where("pivot < doc").select("bucket", "doc")  # the pivots have met all of their buckets
-    whole = members.select("bucket", "doc")
-    while True:
-        known = labels.select(F.col("node").alias("doc"), "root")
-        full = whole.join(known, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        per = full.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        opened = per.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", "largest")
-        opened = table(opened, "mh-open")
-        waiting = left.join(opened, "bucket").join(known, "doc", "left").withColumn("root", F.coalesce("root", "doc")).where("root <> largest")
-        chosen = table(waiting.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct("doc", "root")).alias("p")).select("bucket", F.col("p.doc").alias("pivot"), F.col("p.root").alias("own")), "mh-pivots")
-        if chosen.limit(1).count() == 0:
-            break
-        pairs = full.join(chosen, "bucket").where("root <> own").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-        links = linked(pairs)
-        left = table(left.join(chosen.select("bucket", F.col("pivot").alias("doc")), ["bucket", "doc"], "left_anti"), "mh-left")
-        if links.limit(1).count():
-            labels = contract(labels, links)
+    nothing = spark.createDataFrame([], "node long, root long")
+    labels = contract(nothing, linked(members.where("pivot < doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))))
+    rooted = members.select("bucket", "doc", "size").join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    rooted = table(rooted, "mh-rooted")
+    per = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    opened = per.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("total"), F.max_by("size", F.struct("n", "root")).alias("main"))
+    opened = table(opened.where("kinds > 1").select("bucket", "largest", "n", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.ceil((F.col("total") - F.col("main")) / BLOCK_SHINGLES).cast("int").alias("chunks")), "mh-open")
+    waiting = table(rooted.join(opened, "bucket"), "mh-waiting")
+    few = waiting.where(F.col("n") <= SMALL_BUCKET).select("bucket", F.col("doc").alias("a"), F.col("root").alias("ra"))
+    pairs = few.join(few.select("bucket", F.col("a").alias("b"), F.col("ra").alias("rb")), "bucket").where("a < b and ra <> rb").select("a", "b")
+    many = waiting.where(F.col("n") > SMALL_BUCKET)
+    # each member is a base row of one block, once for every chunk of queries; a member outside the largest component is also a query for every block
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(F.col(c), F.lit(1)) - 1))
+    at = lambda c, salt: F.pmod(F.xxhash64("doc", F.lit(salt)), F.greatest(F.col(c), F.lit(1))).cast("int")
+    base_rows = many.select("bucket", at("blocks", 1).alias("block"), spread("chunks").alias("chunk"), "doc", "root", F.lit(False).alias("query"))
+    query_rows = many.where("root <> largest").select("bucket", spread("blocks").alias("block"), at("chunks", 2).alias("chunk"), "doc", "root", F.lit(True).alias("query"))
+    tasks = base_rows.unionByName(query_rows).join(sets.select(F.col("doc_id").alias("doc"), "shingles"), "doc")
+    found = tasks.groupBy("bucket", "block", "chunk").applyInArrow(lambda t: _search(t, percent), "a long, b long")
+    labels = contract(labels, linked(pairs).union(table(found.distinct(), "mh-found")))
     of_class = classes.select("k1", "k2", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = base.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2", "n_shingles"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")))

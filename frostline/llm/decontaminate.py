@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of passages.
 
-The n-grams of ``SEED`` words of all test items are seeds.  Their frequency in the corpus is counted, and in every stretch of
-``STRETCH`` consecutive seeds of an item the rarest are kept: common phrases are left out where a rarer one is near, but every part of an item keeps a
-seed however often the item was copied.  Training passages are joined with items on seed hashes.  Seed hits of one
+The n-grams of ``SEED`` words of all test items are seeds.  Their frequency in the corpus is counted.  A seed is rare, and kept, if it occurs at most
+``RARE`` times or at most ``NEAR_LEAST`` times as often as the least frequent one found in a stretch of ``STRETCH`` consecutive seeds around it: common phrases are
+left out where a rarer one is near, but every part of an item keeps its seeds however often the item was copied.  Seeds that the corpus has not join nothing.  Training passages are joined with items on seed hashes.  Seed hits of one
 document and item that lie near one diagonal form a passage, and a local alignment of the words (match 2, mismatch -1,
 gap -1) scores it, so edited and paraphrased copies with changed, lost or added words still align.
 
@@ -26,6 +26,7 @@ from . import textkernel as tk
 from .common import table, tune
 
 SEED, STRETCH = 4, 6
+RARE, NEAR_LEAST = 64, 8
 _FILLER = np.array([32 if b < 128 and not chr(b).isalnum() else b for b in range(256)], np.uint8)
 
 
@@ -159,6 +160,17 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return table(rows.mapInArrow(_item_rows, "item_id long, at int, seed long, words binary"), "dc-seeds")
 
 
+def rare(n: np.ndarray) -> np.ndarray:
+    """Which of an item's consecutive seeds are kept, from their corpus frequencies."""
+    none = np.iinfo(np.int64).max // (2 * NEAR_LEAST)
+    f = np.where(n == 0, none, n)
+    width = min(STRETCH, len(f))
+    least = tk.sliding(f, width)
+    pad = np.zeros(width - 1, np.int64)
+    around = tk.sliding(np.concatenate([pad, np.where(least == none, 0, least), pad]), width, np.maximum)
+    return (n > 0) & (n <= np.maximum(RARE, NEAR_LEAST * around))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, broadcast_seeds: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, seed_hits, score, first_word, end_word) of every contaminated document and item."""
     spark = docs.sparkSession
@@ -166,6 +178,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seeds = item_seeds(benchmark)
     size = seeds.count()
+    if size == 0:
+        return spark.createDataFrame([], _FOUND)
     if size > broadcast_seeds:
         return _joined(rows, seeds, threshold)
     got = seeds.orderBy("item_id", "words", "at").collect()
@@ -196,13 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     keep = np.zeros(len(seed), bool)
     for i in range(len(names)):
         own = np.flatnonzero(item == i)
-        f = n[own]
-        if len(own) <= STRETCH:
-            keep[own[f == f.min()]] = True
-            continue
-        least = tk.sliding(f, STRETCH)  # of each stretch; a seed stays if it is the least of one
-        most = tk.sliding(np.concatenate([np.full(STRETCH - 1, -1), least, np.full(STRETCH - 1, -1)]), STRETCH, np.maximum)
-        keep[own[most == f]] = True
+        keep[own] = rare(n[own])
     sent = spark.sparkContext.broadcast((seed[keep], item[keep], at[keep], words, names))
     return rows.mapInArrow(lambda x: _scan(x, *sent.value, threshold), _FOUND)
 
@@ -224,9 +232,10 @@ def _joined(rows: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
     hashes = rows.mapInArrow(emit, "doc_id long, seed long").join(seeds.select("seed").distinct(), "seed", "left_semi")
     counted = hashes.groupBy("seed").count()
     stretch = seeds.join(counted, "seed", "left").withColumn("n", F.coalesce("count", F.lit(0))).withColumn("s", F.floor(F.col("at") / (STRETCH // 2)))
-    rare = stretch.join(stretch.groupBy("item_id", "words", "s").agg(F.min("n").alias("least")), ["item_id", "words", "s"]).where("n = least").select("item_id", "words", "seed", "at")
-    rare = table(rare, "dc-rare")
-    pairs = hashes.join(rare.select("seed", "item_id", "words"), "seed").select("doc_id", "item_id", "words").distinct()
+    least = stretch.where("n > 0").groupBy("item_id", "words", "s").agg(F.min("n").alias("least"))
+    kept = stretch.where("n > 0").join(least, ["item_id", "words", "s"]).where(F.col("n") <= F.greatest(F.lit(RARE), NEAR_LEAST * F.col("least"))).select("item_id", "words", "seed", "at")
+    kept = table(kept, "dc-rare")
+    pairs = hashes.join(kept.select("seed", "item_id", "words"), "seed").select("doc_id", "item_id", "words").distinct()
     both = pairs.join(rows, "doc_id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,7 +66,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, h = tk.minimizers(w, SEED, WINDOW)
             cut = np.searchsorted(at, w.first)
             local = at - np.repeat(w.first[:-1], np.diff(cut))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(w.first)), pa.array(_joined(w)), _lists(h.view(np.int64), cut, pa.int64()), _lists(local.astype(np.int32), cut, pa.int32())], names=["doc_id", "n_words", "sha", "seed", "at"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(np.diff(w.first)), pa.array(_joined(w)), _lists(h.view(np.int64), cut, pa.int64()), _lists(local.astype(np.int32), cut, pa.int32())], names=["doc_id", "th", "n_words", "sha", "seed", "at"])
 
 
 def _least(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,19 +180,21 @@ def substring_dedup(docs: DataFrame, shard_bytes: int = 2 << 20, salt_bytes: int
     """doc_id, n_words, n_removed, kept_sha256 for docs(doc_id, text)."""
     spark = docs.sparkSession
     tune(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     shards = max(1, -(-(rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0) // shard_bytes))
-    base = table(rows.mapInArrow(_sketch, "doc_id long, n_words long, sha string, seed array<long>, at array<int>"), "sub-seeds")
+    base = table(rows.mapInArrow(_sketch, "doc_id long, th long, n_words long, sha string, seed array<long>, at array<int>"), "sub-seeds")
     # one row a word sequence; 'row' (its hash) stands for it from here on
-    classes = base.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
-    classes = table(classes, "sub-classes")
-    one = base.select(F.col("sha"), F.col("doc_id"), F.arrays_zip("seed", "at").alias("seeds")).join(classes.select("sha", "doc_id", "copies"), ["sha", "doc_id"], "left_semi")
-    each = table(one.select("sha", "doc_id", F.explode("seeds").alias("s")).select("sha", "doc_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("at")).distinct(), "sub-each")
+    classes = base.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th")).alias("rep"))
+    classes = table(classes.select("sha", "copies", "rep.doc_id", "rep.th"), "sub-classes")
+    rep = classes.select(F.col("sha").alias("s"), F.col("doc_id").alias("i"), F.col("th").alias("t"))
+    mine = (F.col("sha") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))
+    one = base.join(rep, mine, "left_semi").groupBy("sha", "doc_id", "th").agg(F.first(F.arrays_zip("seed", "at")).alias("seeds"))
+    each = table(one.select("sha", "doc_id", "th", F.explode("seeds").alias("s")).select("sha", "doc_id", "th", F.col("s.seed").alias("seed"), F.col("s.at").alias("at")), "sub-each")
     owner = F.min(F.xxhash64("sha"))
     again = each.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.pmod(owner, F.lit(shards)).cast("int").alias("shard")).where("n > 1").drop("n")
-    found = each.join(again, "seed").groupBy("sha", "doc_id").agg(F.collect_list(F.struct("at", "shard")).alias("seeds"))
+    found = each.join(table(again, "sub-again"), "seed").groupBy("sha", "doc_id", "th").agg(F.collect_list(F.struct("at", "shard")).alias("seeds"))
     # ids may repeat: the text taken for a class is checked by its hash
-    texts = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"])).select(F.col("sha").alias("row"), "text", "seeds")
+    texts = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["th"] == found["th"])).select(F.col("sha").alias("row"), "text", "seeds")
     texts = table(texts.mapInArrow(_same, "row string, text string, seeds array<struct<at:int,shard:int>>").join(classes.select(F.col("sha").alias("row"), "copies"), "row"), "sub-texts")
     confirmed = table(texts.select("text", "seeds").mapInArrow(_windows, "shard int, seed long, window long").groupBy("shard", "seed", "window").count().where("count > 1").drop("count"), "sub-windows")
     phrases = texts.select("text", "seeds").mapInArrow(_phrases, "shard int, seed long, phrase binary").groupBy("shard", "seed").agg(F.first("phrase").alias("phrase")).join(confirmed.select("shard", "seed").distinct(), ["shard", "seed"], "left_semi")

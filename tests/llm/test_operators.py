@@ -368,6 +368,14 @@ def test_substring_dedup(spark, texts):
     assert substring_dedup.substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_substring_dedup_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 50, 9000), prose(rng, 50, 9000)
+    rows = [(None, a + " x"), (None, "y " + a), (7, b), (7, b), (7, prose(rng, 40, 9000)), (8, b + "  z")]
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 51, 50), (-1, 51, 50), (7, 40, 0), (7, 50, 50), (7, 50, 50), (8, 51, 50)]
+
+
 def test_quality_classifier(spark):
     rng = random.Random(10)
     good = [prose(rng, rng.randrange(20, 300)).capitalize() + "." for _ in range(120)]

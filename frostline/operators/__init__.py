@@ -1 +1 @@
-""""""
+"""DataFrame operators."""

@@ -1 +1 @@
-""""""
+"""Streaming: the engine has no streaming operators, so there are none to register."""

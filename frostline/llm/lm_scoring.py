@@ -110,15 +110,18 @@ def _ask(t: pa.Table, shards: int) -> pa.Table:
     held = {}
     for name, h, a, k in (("one", ones, np.concatenate([train, train[starts]]), np.concatenate([kept, kept[starts]])), ("two", x.pair, train, kept)):
         u, inverse = np.unique(h, return_inverse=True)
-        held[name] = (u, np.bincount(inverse, a, len(u)).astype(np.int64), np.bincount(inverse, k, len(u)).astype(np.int64), np.searchsorted(shard_of(u, shards), np.arange(shards + 1)))
-    for s in range(shards):
+        held[name] = (u, np.bincount(inverse, a, len(u)).astype(np.int64), np.bincount(inverse, k, len(u)).astype(np.int64), shard_of(u, shards).astype(np.int64))
+    # only shards that the block has n-grams of get a row, so rows never exceed distinct n-grams
+    met = np.unique(np.concatenate([x[3] for x in held.values()]))
+    cuts = {name: np.searchsorted(x[3], np.append(met, shards)) for name, x in held.items()}
+    for i, s in enumerate(met.tolist()):
         cols["shard"].append(s)
-        for name, (u, a, k, cut) in held.items():
-            own = slice(cut[s], cut[s + 1])
+        for name, (u, a, k, _) in held.items():
+            own = slice(cuts[name][i], cuts[name][i + 1])
             cols[name].append(pack_sorted(u[own]))
             cols[f"{name}_all"].append(pack(a[own]))
             cols[f"{name}_kept"].append(pack(k[own]))
-    block = pa.array([t.column("block")[0].as_py()] * shards, pa.int32())
+    block = pa.array([t.column("block")[0].as_py()] * len(met), pa.int32())
     return pa.table([block, pa.array(cols["shard"], pa.int32()), *(pa.array(cols[c], pa.binary()) for c in list(cols)[1:])], names=["block", *cols])
 
 

@@ -121,18 +121,24 @@ def write_warc(pages: DataFrame, out: str, roll_bytes: int = 8 << 20, shard_byte
     span = pages.agg(F.min(F.col("page_id").cast("long")).alias("lo"), F.max(F.col("page_id").cast("long")).alias("hi")).first()
     lo, hi = span["lo"] or 0, span["hi"] or 0
     width = (hi - lo) // HISTOGRAM + 1
-    cell = F.coalesce(((F.col("page_id").cast("long") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(0))
+    beyond = F.coalesce(F.col("page_id").cast("long") - F.lit(lo), F.lit(0))
+    cell = F.round((beyond - beyond % F.lit(width)) / F.lit(width)).cast("int")
     sizes = {r["c"]: r["b"] for r in pages.groupBy(cell.alias("c")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 500).alias("b")).collect()}
-    cuts, held = [0], 0
+    # small neighbouring cells share a shard; a cell of several shards' bytes is cut evenly by id
+    first, pieces, shards, held = [0] * (max(sizes, default=0) + 1), [1] * (max(sizes, default=0) + 1), 0, 0
     for c in sorted(sizes):
-        if held and held + sizes[c] > shard_bytes:
-            cuts.append(c)
-            held = 0
+        pieces[c] = max(1, -(-sizes[c] // shard_bytes))
+        if held and (held + sizes[c] > shard_bytes):
+            shards, held = shards + 1, 0
+        first[c] = shards
         held += sizes[c]
-    # a page's shard is the number of cuts at or below its cell
-    shard = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= cell)) - 1
+        if pieces[c] > 1:
+            shards, held = shards + pieces[c], 0
+    shards += held > 0
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), cell + 1)
+    shard = (of(first) + F.least(F.floor(of(pieces) * (beyond % F.lit(width)) / F.lit(width)), of(pieces) - 1)).cast("int")
     rows = prepared(pages, least).withColumn("shard", shard)
-    ordered = rows.repartition(len(cuts), "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    ordered = rows.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
     made = ordered.select("shard", "page_id", "url", "payload", "digest", "refers_to").mapInArrow(lambda x: _write(x, out, roll_bytes), _MANIFEST)
     made.write.json(f"{out}/manifest")
     return spark.read.schema(_MANIFEST).json(f"{out}/manifest")

@@ -171,7 +171,7 @@ def rare(n: np.ndarray) -> np.ndarray:
     return (n > 0) & (n <= np.maximum(RARE, NEAR_LEAST * around))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, broadcast_seeds: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, broadcast_seeds: int = 200_000) -> DataFrame:
     """(doc_id, item_id, seed_hits, score, first_word, end_word) of every contaminated document and item."""
     spark = docs.sparkSession
     tune(spark)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir, tune
+from .common import shared_dir, table, tune
 
 HISTOGRAM = 4096
 DATE = "2024-01-01T00:00:00Z"
@@ -105,12 +105,13 @@ def _write(batches: Iterator[pa.RecordBatch], out: str, roll_bytes: int) -> Iter
         yield pa.RecordBatch.from_pylist([now.close()], schema)
 
 
-def prepared(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, url, payload, digest, refers_to."""
+def prepared(pages: DataFrame, least: int = 100, broadcast_digests: int = 200_000) -> DataFrame:
+    """page_id, url, payload, digest, refers_to.  Digests that repeat are counted, and broadcast only up to ``broadcast_digests``, so payloads are not shuffled for the join."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= least
-    firsts = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"))
-    joined = rows.join(firsts, "digest", "left")
+    firsts = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = table(firsts.where("n > 1").drop("n"), "warc-firsts")
+    joined = rows.join(F.broadcast(firsts) if firsts.count() <= broadcast_digests else firsts, "digest", "left")
     return joined.withColumn("refers_to", F.when(large & (F.col("page_id") > F.col("first")), F.col("first"))).drop("first")
 
 

@@ -124,6 +124,8 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(first) > 1
     again = {r["file"]: r["sha256"] for r in warc.write_warc(pages.repartition(3), f"file://{tmp_path}/again", roll_bytes=600).collect()}
     assert first == again
+    key = lambda df: sorted(map(repr, df.select("page_id", "digest", "refers_to").collect()))
+    assert key(warc.prepared(pages)) == key(warc.prepared(pages, broadcast_digests=0))
     split = [(r["first_page"], r["last_page"]) for r in warc.write_warc(pages.where("page_id is not null"), f"file://{tmp_path}/split", shard_bytes=900).orderBy("shard", "number").collect()]
     assert len(split) > 2 and all(a[1] < b[0] for a, b in zip(split, split[1:]))
     got = {r["page_id"]: r for r in warc.read_warc(spark, out).collect()}

@@ -13,6 +13,8 @@ Spans are half-open, in code points, of the whole match.  Null text counts as em
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import table, tune
@@ -68,41 +70,76 @@ def _encoding(v: Column) -> Column:
     )
 
 
-def _battery(v: Column) -> Column:
-    """Struct(enc, n, p) of one token: the combined p-value of the three tests."""
-    enc = _encoding(v)
-    body = F.regexp_replace(v, "=+$", "")
-    one_case = F.when((enc == "hex") | ((enc == "base36") & body.rlike("[a-z]")), F.lower(body)).when(enc == "base36", F.lower(body)).otherwise(F.translate(body, "-_", "+/"))
-    symbols = F.lit(None).cast("string")
+def _with(value: Column, more: Callable[[Column], dict[str, Column]]) -> Column:
+    """The struct with more fields; the struct is made once, however often the fields use it."""
+
+    def add(x: Column) -> Column:
+        out = x
+        for name, field in more(x).items():
+            out = out.withField(name, field)
+        return out
+
+    return F.transform(F.array(value), add)[0]
+
+
+def _spelled(x: Column) -> dict[str, Column]:
+    """The token in its encoding's spelling, and the alphabet."""
+    enc, symbols = x["enc"], F.lit(None).cast("string")
     for name, alphabet in ALPHABETS.items():
         symbols = F.when(enc == name, alphabet).otherwise(symbols)
-    made = F.struct(enc.alias("enc"), one_case.alias("t"), symbols.alias("abc"))
-
-    def tests(x: Column) -> Column:
-        t, abc = x["t"], x["abc"]
-        n, k = F.length(t).cast("double"), F.length(abc).cast("double")
-        chars = F.filter(F.split(t, ""), lambda c: c != "")
-        codes = F.transform(chars, lambda c: (F.instr(abc, c) - 1).cast("double"))
-        squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(F.length(t) - F.length(F.replace(t, c, F.lit(""))), F.lit(2)))
-        chi = k / n * squares - n
-        dof = k - 1
-        z_chi = (F.cbrt(chi / dof) - (1 - 2 / (9 * dof))) / F.sqrt(2 / (9 * dof))
-        half = k / 2
-        high = F.aggregate(codes, F.lit(0.0), lambda a, c: a + (c >= half).cast("double"))
-        mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
-        pairs = F.arrays_zip(F.slice(codes, F.lit(1), F.size(codes) - 1).alias("a"), F.slice(codes, F.lit(2), F.size(codes) - 1).alias("b"))
-        switches = F.aggregate(pairs, F.lit(0.0), lambda a, c: a + ((c["a"] >= half) != (c["b"] >= half)).cast("double"))
-        lag = F.aggregate(pairs, F.lit(0.0), lambda a, c: a + (c["a"] - mean) * (c["b"] - mean))
-        spread = F.aggregate(codes, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean))
-        expect = 2 * high * (n - high) / n + 1
-        deviation = F.greatest((expect - 1) * (expect - 2) / (n - 1), F.lit(1e-9))
-        z_runs = F.when((high > 0) & (high < n), (switches + 1 - expect) / F.sqrt(deviation)).otherwise(F.lit(9.0))
-        z_lag = F.when(spread > 0, (lag / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
-        floor = lambda p: F.greatest(p, F.lit(1e-30))
-        y = -(F.ln(floor(_tail(z_chi))) + F.ln(floor(2 * _tail(F.abs(z_runs)))) + F.ln(floor(2 * _tail(F.abs(z_lag)))))
-        return F.struct(x["enc"].alias("enc"), F.length(t).alias("n"), F.least(F.lit(1.0), F.exp(-y) * (1 + y + y * y / 2)).alias("p"))
-
-    return F.transform(F.array(made), tests)[0]
+    return {"t": F.when(enc.isin("hex", "base36"), F.lower(x["body"])).otherwise(F.translate(x["body"], "-_", "+/")), "abc": symbols}
+
+
+def _listed(x: Column) -> dict[str, Column]:
+    return {"n": F.length(x["t"]).cast("double"), "k": F.length(x["abc"]).cast("double"), "chars": F.filter(F.split(x["t"], ""), lambda c: c != "")}
+
+
+def _coded(x: Column) -> dict[str, Column]:
+    t = x["t"]
+    squares = F.aggregate(F.array_distinct(x["chars"]), F.lit(0.0), lambda a, c: a + F.pow(F.length(t) - F.length(F.replace(t, c, F.lit(""))), F.lit(2)))
+    return {"chi": x["k"] / x["n"] * squares - x["n"], "codes": F.transform(x["chars"], lambda c: (F.instr(x["abc"], c) - 1).cast("double"))}
+
+
+def _summed(x: Column) -> dict[str, Column]:
+    codes, last = x["codes"], F.size(x["codes"]) - 1
+    return {
+        "high": F.aggregate(codes, F.lit(0.0), lambda a, c: a + (c >= x["k"] / 2).cast("double")), "mean": F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / x["n"],
+        "pairs": F.arrays_zip(F.slice(codes, F.lit(1), last).alias("a"), F.slice(codes, F.lit(2), last).alias("b")),
+    }
+
+
+def _compared(x: Column) -> dict[str, Column]:
+    half, mean, n, high = x["k"] / 2, x["mean"], x["n"], x["high"]
+    return {
+        "switches": F.aggregate(x["pairs"], F.lit(0.0), lambda a, c: a + ((c["a"] >= half) != (c["b"] >= half)).cast("double")),
+        "lag": F.aggregate(x["pairs"], F.lit(0.0), lambda a, c: a + (c["a"] - mean) * (c["b"] - mean)),
+        "spread": F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean)),
+        "expect": 2 * high * (n - high) / n + 1,
+    }
+
+
+def _scored(x: Column) -> dict[str, Column]:
+    """Normal deviates of the chi-squared, runs and serial-correlation tests; tokens that a test can't take fail it."""
+    n, dof, expect = x["n"], x["k"] - 1, x["expect"]
+    deviation = F.greatest((expect - 1) * (expect - 2) / (n - 1), F.lit(1e-9))
+    return {
+        "z_chi": (F.cbrt(x["chi"] / dof) - (1 - 2 / (9 * dof))) / F.sqrt(2 / (9 * dof)),
+        "z_runs": F.when((x["high"] > 0) & (x["high"] < n), (x["switches"] + 1 - expect) / F.sqrt(deviation)).otherwise(F.lit(9.0)),
+        "z_lag": F.when(x["spread"] > 0, (x["lag"] / x["spread"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0)),
+    }
+
+
+def _combined(x: Column) -> dict[str, Column]:
+    floor = lambda p: F.greatest(p, F.lit(1e-30))
+    return {"y": -(F.ln(floor(_tail(x["z_chi"]))) + F.ln(floor(2 * _tail(F.abs(x["z_runs"])))) + F.ln(floor(2 * _tail(F.abs(x["z_lag"])))))}
+
+
+def _battery(v: Column) -> Column:
+    """Struct(enc, n, p) of one token: the combined p-value of the three tests."""
+    made = F.struct(_encoding(v).alias("enc"), F.regexp_replace(v, "=+$", "").alias("body"))
+    for step in (_spelled, _listed, _coded, _summed, _compared, _scored, _combined):
+        made = _with(made, step)
+    return F.transform(F.array(made), lambda x: F.struct(x["enc"].alias("enc"), F.length(x["t"]).alias("n"), F.least(F.lit(1.0), F.exp(-x["y"]) * (1 + x["y"] + x["y"] * x["y"] / 2)).alias("p")))[0]
 
 
 def _class(enc: Column, n: Column) -> Column:

@@ -256,6 +256,54 @@ def test_kneser_ney_sums_to_one(spark):
         assert total <= 1 + 1e-5
 
 
+def kneser_ney(texts, run, order=5):
+    """log2 probability of a padded run by plain interpolated Kneser-Ney."""
+    grams = Counter()
+    for r in " ".join(texts).split():
+        r = f" {r} "
+        for e in range(1, len(r)):
+            for n in range(1, min(order, e + 1) + 1):
+                grams[r[e - n + 1 : e + 1], e - n + 1 == 0] += 1
+    opens = {g for g, o in grams if o}
+    plain = Counter()
+    for (g, _), c in grams.items():
+        plain[g] += c
+    cont = Counter(g[1:] for g in plain if len(g) > 1)
+    c = {g: x if g in opens or not cont[g] else cont[g] for g, x in plain.items()}
+    seen = {n: [x for g, x in c.items() if len(g) == n] for n in range(1, order + 1)}
+    d = {n: min(max(x.count(1) / max(x.count(1) + 2 * x.count(2), 1), 0.1), 0.9) for n, x in seen.items()}
+    total, kinds = Counter(), Counter()
+    for g, x in c.items():
+        total[len(g), g[:-1]] += x
+        kinds[len(g), g[:-1]] += 1
+
+    def p(g):
+        n, below = len(g), p(g[1:]) if len(g) > 1 else 1 / 2048
+        t = total[n, g[:-1]]
+        return (max(c.get(g, 0) - d[n], 0) + d[n] * kinds[n, g[:-1]] * below) / t if t else below
+
+    run = f" {run} "
+    return sum(math.log2(p(run[max(0, e - order + 1) : e + 1])) for e in range(1, len(run)))
+
+
+def test_rare_language_beside_a_hot_one_keeps_its_ngrams(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 10)))
+    hot = [" ".join(word() for _ in range(300)) for _ in range(200)]
+    own = [word() for _ in range(40)]
+    rare = [" ".join(rng.choices(own, k=20)) for _ in range(6)]
+    docs = spark.createDataFrame([("hot", t) for t in hot] + [("rare", t) for t in rare], "lang string, text string").repartition(4)
+    model = language_id.train(docs)
+    for run in (own[0], own[1] + own[2], "zzz"):
+        assert math.isclose(model.bits([run])[0][0, model.langs.index("rare")], kneser_ney(rare, run), rel_tol=1e-4)
+    assert math.isclose(model.bits([own[3]])[0][0, model.langs.index("hot")], kneser_ney(hot, own[3]), rel_tol=1e-4)
+    texts = [*hot[:20], *rare, " ".join(own[:8]), None, "", "12", own[5]]
+    rows = spark.createDataFrame([(i if i % 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [sorted(map(str, language_id.identify(rows, m).collect())) for m in (model, language_id.train(docs, broadcast_numbers=0))]
+    assert got[0] == got[1]
+    assert {r["lang_pred"] for r in language_id.identify(rows.where("doc_id > 20 and doc_id < 27"), model).collect()} == {"rare"}
+
+
 def _before(model, context, c):
     """Bits of all of ' context c ' but c itself."""
     code, opening, _ = language_id._padded([context + c])

@@ -9,6 +9,7 @@ gap -1) scores it, so edited and paraphrased copies with changed, lost or added
 score = best alignment score / (2 * words of the item); a document is contaminated by an item at ``threshold`` or more.
 Equal passages are aligned once a batch.  The seed table follows the benchmark: it is counted, and broadcast up to
 ``broadcast_seeds`` rows; a larger benchmark is joined by shuffling seed hashes of the documents instead.
+Both ways count occurrences, keep the same seeds and align around the kept ones only, so their results are equal.
 
 Words are lower-cased (A-Z) and stripped of outer ASCII punctuation.  Items with fewer than ``SEED`` words use all their words as
 one seed and must match it whole.  Null texts and items have no words and match nothing; of repeated ids each row counts.
@@ -155,9 +156,9 @@ _FOUND = "doc_id long, item_id long, seed_hits int, score double, first_word int
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """All seeds of items(item_id, text): (item_id, at, seed, words)."""
+    """All seeds of items(item_id, text): (item_id, at, seed, words); rows of one id with equal words are one item."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return table(rows.mapInArrow(_item_rows, "item_id long, at int, seed long, words binary"), "dc-seeds")
+    return table(rows.mapInArrow(_item_rows, "item_id long, at int, seed long, words binary").distinct(), "dc-seeds")
 
 
 def rare(n: np.ndarray) -> np.ndarray:
@@ -171,6 +172,12 @@ def rare(n: np.ndarray) -> np.ndarray:
     return (n > 0) & (n <= np.maximum(RARE, NEAR_LEAST * around))
 
 
+def _rare_rows(t: pa.Table) -> pa.Table:
+    """The seeds of one item that are kept."""
+    t = t.sort_by("at")
+    return t.filter(pa.array(rare(t.column("n").to_numpy()))).select(["item_id", "words", "item", "seed", "at"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, broadcast_seeds: int = 200_000) -> DataFrame:
     """(doc_id, item_id, seed_hits, score, first_word, end_word) of every contaminated document and item."""
     spark = docs.sparkSession
@@ -225,28 +232,30 @@ def _joined(rows: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
                 w = clean_words(b.column("text"))
                 at, g = _seeds_of(w, sizes)
                 doc = np.searchsorted(w.first, at, "right") - 1
-                pair = np.unique(np.stack([doc.astype(np.uint64), g]), axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(pair[0].astype(np.int64))), pa.array(pair[1].view(np.int64))], names=["doc_id", "seed"])
-
-    # rarest first: an item's seeds that the corpus has least often, at least one of every stretch
-    hashes = rows.mapInArrow(emit, "doc_id long, seed long").join(seeds.select("seed").distinct(), "seed", "left_semi")
-    counted = hashes.groupBy("seed").count()
-    stretch = seeds.join(counted, "seed", "left").withColumn("n", F.coalesce("count", F.lit(0))).withColumn("s", F.floor(F.col("at") / (STRETCH // 2)))
-    least = stretch.where("n > 0").groupBy("item_id", "words", "s").agg(F.min("n").alias("least"))
-    kept = stretch.where("n > 0").join(least, ["item_id", "words", "s"]).where(F.col("n") <= F.greatest(F.lit(RARE), NEAR_LEAST * F.col("least"))).select("item_id", "words", "seed", "at")
-    kept = table(kept, "dc-rare")
-    pairs = hashes.join(kept.select("seed", "item_id", "words"), "seed").select("doc_id", "item_id", "words").distinct()
-    both = pairs.join(rows, "doc_id")
+                pair, n = np.unique(np.stack([doc.astype(np.uint64), g]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(pair[0].astype(np.int64))), pa.array(pair[1].view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "seed", "n"])
+
+    # rows and items are joined by hashes of all they have, so null and repeated ids count; a collision only adds a candidate that scores nothing
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    seeds = seeds.withColumn("item", F.xxhash64("item_id", "words"))
+    hashes = rows.select("row", "text").mapInArrow(emit, "row long, seed long, n long").join(seeds.select("seed").distinct(), "seed", "left_semi")
+    counted = hashes.groupBy("seed").agg(F.sum("n").alias("n"))
+    found = seeds.join(counted, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    kept = table(found.groupBy("item_id", "words").applyInArrow(_rare_rows, "item_id long, words binary, item long, seed long, at int"), "dc-rare")
+    items = kept.groupBy("item_id", "words", "item").agg(F.sort_array(F.collect_list(F.struct("at", "seed"))).alias("kept"))
+    items = items.select("item_id", "words", "item", F.col("kept.seed").alias("seeds"), F.col("kept.at").alias("ats"))
+    pairs = hashes.join(kept.select("seed", "item").distinct(), "seed").select("row", "item").distinct()
+    both = rows.join(pairs.join(items, "item"), "row")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = batch.slice(i, 1)
                 a = np.frombuffer(b.column("words")[0].as_py(), np.uint64)
-                g = tk.rolling(a, min(SEED, len(a)))
-                yield from _scan([b.select(["doc_id", "text"])], g, np.zeros(len(g), np.int64), np.arange(len(g)), {0: a}, [b.column("item_id")[0].as_py()], threshold)
+                g, at = (b.column(c)[0].values.to_numpy().astype(np.int64) for c in ("seeds", "ats"))
+                yield from _scan([b.select(["doc_id", "text"])], g.view(np.uint64), np.zeros(len(g), np.int64), at, {0: a}, [b.column("item_id")[0].as_py()], threshold)
 
-    return both.select("doc_id", "text", "item_id", "words").mapInArrow(score, _FOUND).distinct()
+    return both.select("doc_id", "text", "item_id", "words", "seeds", "ats").mapInArrow(score, _FOUND)
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -352,6 +352,24 @@ def test_decontamination(spark):
     assert decontaminate.decontamination(make(spark, texts), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_joined_equals_broadcast(spark):
+    rng = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(8))
+    items = [(i, f"x{i} y{i} {common} z{i} v{i}") for i in range(3)] + [(None, prose(rng, 30, 4000)), (7, prose(rng, 40, 4000)), (7, prose(rng, 40, 4000))]
+    items += [items[0], (8, "two words"), (9, None)]
+    rows = [(i, " ".join(common + " " + prose(rng, 5, 4000) for _ in range(3))) for i in range(40)]  # in 40 rows, 120 times
+    rows += [(None, items[0][1]), (None, items[0][1]), (None, items[3][1]), (50, items[4][1]), (50, items[4][1]), (50, items[5][1] + " " + items[1][1]), (None, None), (51, None), (52, "so two words here")]
+    rows += [(60, prose(rng, 30, 4000) + " " + " ".join(w for k, w in enumerate(items[4][1].split()) if k % 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(str, decontaminate.decontamination(docs, bench, **o).collect())) for o in ({}, {"broadcast_seeds": 0})]
+    assert got[0] == got[1]
+    ids = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.decontamination(docs, bench, broadcast_seeds=0).collect())
+    assert (ids[None, 0], ids[None, None], ids[50, 7], ids[50, 1], ids[52, 8], ids[60, 7]) == (2, 1, 3, 1, 1, 1)
+    # the phrase is frequent: it leads to item 2 alone, of which the corpus has nothing rarer
+    assert {i for d, i in ids if d is not None and d < 40} == {2}
+
+
 def test_alignment_equals_full_matrix():
     rng = np.random.default_rng(2)
     for _ in range(30):

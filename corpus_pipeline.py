@@ -33,8 +33,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id.  Rows that repeat an id become one."""
-    found = table(near_dedup(docs).select("doc_id", "kept"), "near-copies")
+    """One document of each group of near copies stays: the one with the smallest id.  Rows that repeat an id become one.
+
+    Shingles have five words here; the four of ``op1_near_dedup`` are that query's own."""
+    found = table(near_dedup(docs, shingle_words=5).select("doc_id", "kept"), "near-copies")
     left = _without(docs, found.where("not kept").select("doc_id"))
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.limit(1).count():

@@ -174,9 +174,5 @@ def minimizers(w: Words, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
 def rotated(h: np.ndarray) -> np.ndarray:
     return (h << U(31)) | (h >> U(33))

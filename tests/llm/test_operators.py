@@ -484,3 +484,22 @@ def test_operators_read_only_their_columns(spark, texts):
     bare = make(spark, texts[:12]).select("doc_id", "text")
     assert near_dedup.near_dedup(bare).count() == 12
     assert packing.pack(bare, tokens=F.length(F.coalesce("text", F.lit("")))).select("doc_id").distinct().count() == 12
+
+
+def test_near_dedup_repeated_ids_of_differing_texts(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 60, 3000), prose(rng, 60, 3000)
+    rows = [(5, a), (5, b), (9, b + " more"), (8, a + " more"), (7, prose(rng, 60, 3000)), (5, a)]
+    out = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(5, 5), (5, 5), (5, 5), (7, 7), (8, 5), (9, 5)]
+    assert len({r["component"] for r in out if r["first"]}) == 3 and sum(r["first"] for r in out) == 4
+
+
+def test_join_classes_splits_heavy_keys(spark, monkeypatch):
+    from frostline.llm import common
+
+    monkeypatch.setattr(common, "HEAVY_KEYS", 4)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 3 + [3] * 2 + [9])], "k long, i long")
+    classes = spark.createDataFrame([(1, 50, "a"), (2, 3, "b"), (3, 2, "c")], "k long, n long, v string")
+    got = sorted((r["i"], r["v"]) for r in common.join_classes(rows, classes, ["k"], "n", 56).collect())
+    assert got == [(i, "a" if i < 50 else "b" if i < 53 else "c" if i < 55 else None) for i in range(56)]

@@ -1,7 +1,9 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-partitioned by page_id with cuts taken from an exact histogram of bytes (at most ``HISTOGRAM`` cells, so no sampling is involved) and
-sorted inside a shard.  A task streams its shards: every record is one gzip member with regenerated headers and digests, and a file is rolled
+Records are range-partitioned by page_id and sorted inside a shard.  The cuts are exact byte quantiles: sizes are summed by page_id and then along the
+sorted ids, so a shard holds about ``shard_bytes`` however the ids are spread.  The ids' first shards, one number a shard (13 MB for 100 TB), are
+all that the driver gets and tasks are sent.  An id with the bytes of several shards is dealt over them by digest and URL.
+A task streams its shards: every record is one gzip member with regenerated headers and digests, and a file is rolled
 when its compressed size reaches ``roll_bytes``.  A file is written under a temporary name with the attempt in it and renamed when closed; names
 depend on shard and number only and contents on the rows only, so a repeated task puts the same bytes at the same place.  The
 manifest (file, records, bytes, SHA-256) is written last by Spark; the reader takes only files that a manifest with its success marker
@@ -9,8 +11,11 @@ names, and checks their SHA-256.
 
 Of records with equal payloads of ``least`` bytes or more, the one with the smallest page_id is a response and the others revisit it.
 
+The reader refuses a folder without the manifest's success marker and a file that differs from it, and reads members in bounded chunks.
+
 Defined results: null html is an empty payload; null url is written as about:blank; rows with a null page_id are responses, and of repeated
-page_ids with the same payload each is a response if it has the smallest id; an empty table gives a manifest without files.
+page_ids with the same payload each is a response if it has the smallest id; an empty table gives a manifest without files.  Ids may be any
+64-bit integers; a payload of any length is one record.
 """
 
 from __future__ import annotations
@@ -21,13 +26,14 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import shared_dir, table, tune
+from .common import exists, shared_dir, table, tune
 
-HISTOGRAM = 4096
+_CHUNK = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 _MANIFEST = "file string, shard int, number int, records long, bytes long, sha256 string, first_page long, last_page long"
 _RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -115,41 +121,59 @@ def prepared(pages: DataFrame, least: int = 100, broadcast_digests: int = 200_00
     return joined.withColumn("refers_to", F.when(large & (F.col("page_id") > F.col("first")), F.col("first"))).drop("first")
 
 
+def shard_cuts(pages: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted (first page_id, its shard, shards its own rows are dealt over), one a shard and one more for an id of several shards.
+
+    The exact running sum of bytes along the ids: inside the ranges that Spark sorts, then over the ranges' totals.
+    """
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + 500
+    by_id = pages.groupBy(F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))).alias("id")).agg(F.sum(size).alias("b"))
+    ranged = table(by_id.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "warc-sizes")
+    totals = ranged.groupBy("part").agg(F.sum("b").alias("all"))  # one row a shuffle partition
+    before = totals.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
+    inside = F.sum("b").over(Window.partitionBy("part").orderBy("id"))
+    begun = ranged.join(F.broadcast(before), "part").select("id", (inside + F.col("before")).alias("end"), "b")
+    shard = lambda x: F.floor(x / F.lit(shard_bytes))
+    begun = begun.select("id", shard(F.col("end") - F.col("b")).alias("shard"), F.greatest(F.lit(1), shard(F.col("end")) - shard(F.col("end") - F.col("b"))).alias("pieces"))
+    cuts = begun.groupBy("shard").agg(F.min("id").alias("id"), F.lit(1).alias("pieces")).select("id", "shard", "pieces").unionByName(begun.where("pieces > 1").select("id", "shard", "pieces"))
+    got = cuts.groupBy("id", "shard").agg(F.max("pieces").alias("pieces")).orderBy("id").toArrow()
+    return tuple(got.column(c).to_numpy().astype(np.int64) for c in ("id", "shard", "pieces"))
+
+
 def write_warc(pages: DataFrame, out: str, roll_bytes: int = 8 << 20, shard_bytes: int = 64 << 20, least: int = 100) -> DataFrame:
     """Write pages(page_id, url, html) under the folder ``out`` (a URI all executors share); returns the manifest."""
     spark = pages.sparkSession
     tune(spark)
-    span = pages.agg(F.min(F.col("page_id").cast("long")).alias("lo"), F.max(F.col("page_id").cast("long")).alias("hi")).first()
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    width = (hi - lo) // HISTOGRAM + 1
-    beyond = F.coalesce(F.col("page_id").cast("long") - F.lit(lo), F.lit(0))
-    cell = F.round((beyond - beyond % F.lit(width)) / F.lit(width)).cast("int")
-    sizes = {r["c"]: r["b"] for r in pages.groupBy(cell.alias("c")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 500).alias("b")).collect()}
-    # small neighbouring cells share a shard; a cell of several shards' bytes is cut evenly by id
-    first, pieces, shards, held = [0] * (max(sizes, default=0) + 1), [1] * (max(sizes, default=0) + 1), 0, 0
-    for c in sorted(sizes):
-        pieces[c] = max(1, -(-sizes[c] // shard_bytes))
-        if held and (held + sizes[c] > shard_bytes):
-            shards, held = shards + 1, 0
-        first[c] = shards
-        held += sizes[c]
-        if pieces[c] > 1:
-            shards, held = shards + pieces[c], 0
-    shards += held > 0
-    of = lambda values: F.element_at(F.array(*map(F.lit, values)), cell + 1)
-    shard = (of(first) + F.least(F.floor(of(pieces) * (beyond % F.lit(width)) / F.lit(width)), of(pieces) - 1)).cast("int")
-    rows = prepared(pages, least).withColumn("shard", shard)
+    sent = spark.sparkContext.broadcast(shard_cuts(pages, shard_bytes))
+    shards = int((sent.value[1] + sent.value[2]).max()) if len(sent.value[0]) else 0
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, shard, pieces = sent.value
+        for b in batches:
+            at = np.searchsorted(first, b.column("page_id").fill_null(-(1 << 63)).to_numpy(), "right") - 1
+            number = shard[at] + b.column("deal").to_numpy() % pieces[at]
+            yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *b.columns[:-1]], names=["shard", *b.schema.names[:-1]])
+
+    columns = "page_id long, url string, payload binary, digest string, refers_to long"
+    rows = prepared(pages, least).select(*(c.split()[0] for c in columns.split(", ")), F.pmod(F.xxhash64("digest", "url"), F.lit(1 << 40)).alias("deal")).mapInArrow(dealt, f"shard int, {columns}")
     ordered = rows.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
-    made = ordered.select("shard", "page_id", "url", "payload", "digest", "refers_to").mapInArrow(lambda x: _write(x, out, roll_bytes), _MANIFEST)
+    made = ordered.mapInArrow(lambda x: _write(x, out, roll_bytes), _MANIFEST)
     made.write.json(f"{out}/manifest")
     return spark.read.schema(_MANIFEST).json(f"{out}/manifest")
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = z.unused_data
+    """The gzip members, each decompressed from bounded chunks, so the work is linear in the file."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, got = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a WARC file ends inside a record")
+            chunk = view[at : at + _CHUNK]
+            got.append(z.decompress(chunk))
+            at += len(chunk) - len(z.unused_data)
+        yield b"".join(got)
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -187,8 +211,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, out: str) -> DataFrame:
-    """Records of all files of the committed manifest under ``out``; fails where bytes and digests differ."""
+    """Records of all files of the committed manifest under ``out``; fails without its marker, and where bytes and digests differ."""
     tune(spark)
+    if not exists(spark, f"{out}/manifest/_SUCCESS"):
+        raise ValueError(f"no committed manifest under {out}")
     manifest = spark.read.schema(_MANIFEST).json(f"{out}/manifest")
     if manifest.limit(1).count() == 0:
         return spark.createDataFrame([], _RECORD)

@@ -503,3 +503,34 @@ def test_join_classes_splits_heavy_keys(spark, monkeypatch):
     classes = spark.createDataFrame([(1, 50, "a"), (2, 3, "b"), (3, 2, "c")], "k long, n long, v string")
     got = sorted((r["i"], r["v"]) for r in common.join_classes(rows, classes, ["k"], "n", 56).collect())
     assert got == [(i, "a" if i < 50 else "b" if i < 53 else "c" if i < 55 else None) for i in range(56)]
+
+
+def test_warc_wide_and_outlying_ids(spark, tmp_path):
+    html = lambda i: f"<p>{i}</p>" * 40
+    rows = [(i, "u", html(i)) for i in (-(1 << 62) - 5, (1 << 62) + 5, -(1 << 63) + 1, (1 << 63) - 1)] + [(i, "u", html(i)) for i in range(200)] + [(1 << 60, f"u{k}", html(k)) for k in range(100)] + [(None, "n", None), (3, "u", html(3))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = f"file://{tmp_path}/w"
+    files = warc.write_warc(pages, out, shard_bytes=20_000).collect()
+    assert len({r["shard"] for r in files}) >= 8 and max(r["records"] for r in files) < 80
+    got = sorted(((r["page_id"] or 0, r["payload_bytes"]) for r in warc.read_warc(spark, out).collect()))
+    assert got == sorted((i or 0, len(h or "")) for i, _, h in rows)
+    again = warc.write_warc(pages.repartition(5), f"file://{tmp_path}/again", shard_bytes=20_000).collect()
+    assert {(r["file"], r["sha256"]) for r in again} == {(r["file"], r["sha256"]) for r in files}
+    (tmp_path / "w" / "manifest" / "_SUCCESS").unlink()
+    with pytest.raises(ValueError, match="no committed manifest"):
+        warc.read_warc(spark, out)
+
+
+def test_warc_members_are_read_in_linear_time():
+    import time
+
+    def seconds(n):
+        data = b"".join(warc.member([("WARC-Type", "resource")], bytes([i % 251]) * 900) for i in range(n))
+        began = time.process_time()
+        assert sum(1 for _ in warc.members(data)) == n
+        return time.process_time() - began
+
+    seconds(200)
+    assert seconds(8000) < 12 * max(seconds(2000), 0.01)
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.members(warc.member([], b"x" * 500)[:-5]))

@@ -163,9 +163,70 @@ def test_secret_scan(spark, texts):
 
 
 def test_masking(spark):
-    docs = spark.createDataFrame([(1, "a password=abcdefgh b token: 0123456789abcdef0123456789 c"), (2, "clean")], "doc_id long, text string")
-    out = secret_scan.secrets(docs).select("doc_id", secret_scan.masked("spans").alias("t")).collect()
-    assert {r["doc_id"]: r["t"] for r in out} == {1: "a [SECRET] b [SECRET] c", 2: "clean"}
+    rng = random.Random(12)
+    token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60))
+    texts = {
+        1: ("a password=abcdefgh b token: 0123456789abcdef0123456789 c", "a [SECRET] b [SECRET] c"), 2: ("clean", "clean"), 3: (None, None), 4: ("", ""),
+        5: (f"x\ufdd0y {token} z", "x\ufdd0y [SECRET] z"), 6: ("AKIA" + "A1" * 9 + "TOKEN=abcdefgh end", "[SECRET] end"), 7: ("0123456789abcdef0123456api_key=ZZZZZZZ e", "[SECRET] e"),
+        8: ("token=ab stays", "token=ab stays"),
+    }
+    docs = spark.createDataFrame([(i, t, 5, "mine") for i, (t, _) in texts.items()], "doc_id long, text string, base int, _row string")
+    out = secret_scan.secrets(docs, masked="[SECRET]")
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: want for i, (_, want) in texts.items()}
+    assert out.columns == ["doc_id", "text", "_row", "base", "spans"] and out.first()["_row"] == "mine"
+
+
+def battery(token):
+    """The combined p-value by plain Python."""
+    body = token.translate({ord(c): None for c in "-_="})
+    enc = next((e for e, p in (("hex", "([0-9a-f]+|[0-9A-F]+)"), ("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("base32", "[A-Z2-7]+"), ("base36", "([0-9a-z]+|[0-9A-Z]+)"), ("base62", "[0-9A-Za-z]+")) if re.fullmatch(p, body)), "base64")
+    t = body.lower() if enc in ("hex", "base36") else body
+    abc = secret_scan.ALPHABETS[enc]
+    n, k, codes = len(t), len(abc), [abc.index(c) for c in t]
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum((codes.count(c) - n / k) ** 2 / (n / k) for c in range(k))
+    p = [tail(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))]
+    side = [c >= k / 2 for c in codes]
+    high = sum(side)
+    expect = 2 * high * (n - high) / n + 1
+    runs = 1 + sum(a != b for a, b in zip(side, side[1:]))
+    z = 9.0 if high in (0, n) else (runs - expect) / math.sqrt(max((expect - 1) * (expect - 2) / (n - 1), 1e-9))
+    p.append(2 * tail(abs(z)))
+    mean = sum(codes) / n
+    spread = sum((c - mean) ** 2 for c in codes)
+    z = 9.0 if not spread else (sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread + 1 / n) * math.sqrt(n)
+    p.append(2 * tail(abs(z)))
+    y = -sum(math.log(max(x, 1e-30)) for x in p)
+    return enc, n, 0.0 if enc in ("lower", "upper") and n < 24 else min(1.0, math.exp(-y) * (1 + y + y * y / 2))
+
+
+def test_battery_equals_plain_python(spark):
+    rng = random.Random(6)
+    abc = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCabc012", "ABCDEFabcdefGHIJKL0123456789+/", "ab-_cD9"]
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randrange(20, 90))) for a in abc for _ in range(8)] + ["a" * 30, "usr/local/share/documents", "123e4567-e89b-12d3-a456-426614174000"]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan._battery(F.col("t")).alias("r")).collect()
+    for r in got:
+        enc, n, p = battery(r["t"])
+        assert (r["r"]["enc"], r["r"]["n"]) == (enc, n) and abs(r["r"]["p"] - p) < 1e-4, (r, p)
+
+
+def test_cuts_pool_sparse_classes():
+    cut = secret_scan.cuts
+    assert cut([("hex:18", 12, 1)], 0.1) == cut([("hex:18", 6, 1)], 0.1) == {"hex:18": 0.05}
+    uniform = [("hex:18", b, 50) for b in range(20)]
+    assert cut(uniform, 0.1) == {"hex:18": 0.0}
+    natural = [("lower:18", 0, 5000), ("lower:18", 1, 200), ("lower:18", 2, 60)]
+    assert cut(natural, 0.1)["lower:18"] > 0.1
+    mixed = cut(natural + uniform + [("lower:19", 3, 1)], 0.1)
+    assert mixed["hex:18"] <= 0.05 and mixed["lower:19"] > 0.1
+
+
+def test_secret_scan_of_one_text_with_many_tokens(spark):
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(20_000))
+    got = secret_scan.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(20_000))
+    assert got["n_hex"] == 20_000 and got["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
 
 
 def test_quality_rules_base_counts(spark, texts):

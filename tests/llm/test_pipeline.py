@@ -6,11 +6,11 @@ import corpus_pipeline as cp
 from frostline.llm import quality_classifier
 from frostline.llm.common import documents
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, seed long, item_id long, spans string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, seed long, item_id long, spans string, base string, quality_score double, first string, component long, _row string"
 
 
 def docs_of(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), False, 0.1, 7, 3, "x") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), False, 0.1, 7, 3, "x", "b", 0.2, "f", 1, "r") for i, t in rows], SCHEMA)
 
 
 def prose(rng, n):
@@ -38,11 +38,12 @@ def test_near_copies_are_judged_by_five_words(spark):
     rows = list(enumerate(texts))
     left = [i for i, t in rows if not any(similarity(t, u, 5) >= 0.8 for u in texts[:i])]
     assert left == list(range(18))
-    rows += [(None, texts[0]), (None, None), (40, prose(rng, 30)), (40, prose(rng, 30)), (41, ""), (42, None)]
+    rows += [(None, texts[0]), (None, None), (40, prose(rng, 30)), (40, prose(rng, 30)), (41, ""), (42, None)] + [(43, t) for t in [prose(rng, 60)] * 2]
+    rows += [(44, rows[-1][1] + " more"), (43, rows[-1][1] + " again")]
     docs = docs_of(spark, rows)
     got = cp.drop_near_copies(spark, docs, "")
     assert got.columns == docs.columns
-    assert ids(got) == [(False, 0)] * 2 + [(True, i) for i in [*left, 40, 41, 42]]
+    assert ids(got) == [(False, 0)] * 2 + [(True, i) for i in [*left, 40, 40, 41, 42, 43]]
     assert cp.drop_near_copies(spark, docs.where("false"), "").count() == 0
 
 

@@ -72,6 +72,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op9_substring_dedup": r"""
+        WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT r, unnest(range(1, len(w) - 33)) AS p, unnest(list_transform(range(1, len(w) - 33), lambda i: sha256(array_to_string(w[i:i + 34], ' ')))) AS h
+            FROM w WHERE len(w) >= 35),
+        again AS (SELECT r, p FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+        words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM w),
+        judged AS (
+            SELECT words.r, words.p, x, coalesce(max(CASE WHEN again.p IS NOT NULL THEN 1 END) OVER (PARTITION BY words.r ORDER BY words.p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+            FROM words LEFT JOIN again ON again.r = words.r AND again.p = words.p),
+        kept AS (SELECT r, CAST(sum(gone) AS BIGINT) AS gone, string_agg(x, ' ' ORDER BY p) FILTER (gone = 0) AS text FROM judged GROUP BY r)
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(kept.gone, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON kept.r = w.r""",
     "op1_near_dedup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -5,15 +5,17 @@ A window is ``WINDOW`` consecutive words of one document; each word covered by a
 1. Documents with the same word sequence are one class, worked on once.  If a class has two rows or more, all its windows recur.
 2. Seeds: the phrases of ``SEED`` words with the least hash of some window (minimizers).  Equal windows hold equal seeds, so
    a window can only recur if its least seed does.  Counting seeds (a tenth of the words) prunes all other text.
-3. Confirm: windows around recurring seeds are hashed (64 bits) and counted; those met twice are the recurring ones.
-4. Compile and locate: each recurring seed belongs to the shard of the smallest document class that has it, so copies of one text meet in
-   one shard.  A shard's automaton holds the seed phrases of its confirmed windows, one symbol a word; each document is streamed
-   through the automata of the shards of its seeds (no other can match), and hits are checked against the confirmed windows.
+3. Confirm: a recurring seed belongs to the shard of the smallest class that has it, so copies of one text meet in one shard.  The words around the
+   seeds of a shard (their 64-bit hashes) are a fragment of the document; a document is never copied whole.  The windows of fragments are
+   counted, folded in each task first; those met twice are the recurring passages.
+4. Compile and locate: a shard's passages, 35 symbols each, are compiled to Aho-Corasick automata of at most ``PATTERNS`` passages, and every fragment of the
+   shard is streamed through them.  The automaton's hits, each checked by its 64-bit hash, are the starts of recurring windows, and nothing else is.
 
-A shard that many documents need is split into salts by text bytes, each with its own copy of the patterns; no step gathers the
-documents of a passage in one task, and no group is paired with itself.
+A shard with many fragments is split into salts by bytes, each with its own copy of the confirmed hashes; no step gathers the documents of a passage in one task,
+and no group is paired with itself.  Classes with many copies are joined by broadcasting them (there are few, see ``join_classes``).
 
-Defined results: null text has no words (0, 0, hash of ''); repeated rows and repeated or null ids count as the rows they are.
+Defined results: null text has no words (0, 0, hash of ''); repeated rows and repeated or null ids count as the rows they are; ties of hashes are equal
+windows; a text of any length is one document; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkernel as tk
-from .common import table, tune
+from .common import join_classes, table, tune
 
 WINDOW, SEED = 35, 12
 _PER = WINDOW - SEED + 1
+#: Passages in one automaton (35 nodes each, about 60 MB).
+PATTERNS = 20_000
+_GAP = 0xFFFF
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _TOP = tk.U(0xFFFFFFFFFFFFFFFF)
 
@@ -69,90 +74,99 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(np.diff(w.first)), pa.array(_joined(w)), _lists(h.view(np.int64), cut, pa.int64()), _lists(local.astype(np.int32), cut, pa.int32())], names=["doc_id", "th", "n_words", "sha", "seed", "at"])
 
 
-def _least(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all seed hashes, least seed hash of each window, whether the window is inside one document)."""
-    g = tk.rolling(w.h, SEED)
-    m = len(w.h) - WINDOW + 1
-    if m <= 0:
-        return g, np.zeros(0, np.uint64), np.zeros(0, bool)
-    return g, tk.sliding(g, _PER), np.arange(m) + WINDOW <= np.repeat(w.first[1:], np.diff(w.first))[:m]
-
-
-def _held(w: tk.Words, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and shards of a slice's recurring seeds, from its column 'seeds' of (at, shard)."""
-    seeds = b.column("seeds")
-    flat = seeds.flatten()
-    counts = np.diff(seeds.offsets.to_numpy())
-    return np.repeat(w.first[:-1], counts) + flat.field("at").to_numpy(zero_copy_only=False), flat.field("shard").to_numpy(zero_copy_only=False)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows whose least seed recurs, with that seed and its shard."""
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document and shard, the word hashes of all windows that hold a recurring seed of the shard, in merged ranges."""
     for batch in batches:
         for b in tk.slices(batch):
             w = tk.words(b.column("text"))
-            at, shard = _held(w, b)
-            g, least, ok = _least(w)
-            if not len(least):
-                continue
-            seen = np.full(len(g), _TOP)
-            seen[at] = g[at]
-            s = np.flatnonzero(ok & (tk.sliding(seen, _PER) == least))
-            keys, one = np.unique(g[at], return_index=True)
-            if not len(s):
-                continue
-            wh = tk.rolling(w.h, WINDOW)[s]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[one][np.searchsorted(keys, least[s])].astype(np.int32)), pa.array(least[s].view(np.int64)), pa.array(wh.view(np.int64))], names=["shard", "seed", "window"])
-
-
-def _symbols(h: np.ndarray) -> bytes:
-    """One code point a word, from its hash; hits are checked by full hashes."""
-    return ((h & tk.U(0xFFFFF)) + tk.U(0x10000)).astype("<u4").tobytes()
-
-
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in tk.slices(batch):
-            w = tk.words(b.column("text"))
-            at, shard = _held(w, b)
-            if not len(at):
-                continue
-            g = tk.rolling(w.h, SEED)
-            keys, one = np.unique(g[at], return_index=True)
-            sym, where = _symbols(w.h), at[one].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(shard[one].astype(np.int32)), pa.array(keys.view(np.int64)), pa.array([sym[4 * p : 4 * (p + SEED)] for p in where], pa.binary())], names=["shard", "seed", "phrase"])
-
-
-def _locate(docs: pa.Table, patterns: pa.Table) -> pa.Table:
-    """Stream the documents of a shard (or one salt of it) through the automaton of its confirmed passages."""
-    ids, starts = [], []
-    phrases = patterns.filter(pa.compute.is_valid(patterns.column("phrase")))
-    confirmed = np.sort(patterns.column("window").drop_null().to_numpy().astype(np.int64).view(np.uint64))
-    if docs.num_rows and phrases.num_rows and len(confirmed):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for p in phrases.column("phrase").to_pylist():
-            automaton.add_word(p.decode("utf-32-le"), SEED - 1)
-        automaton.make_automaton()
-        for batch in docs.combine_chunks().to_batches():
-            for b in tk.slices(batch):
-                w = tk.words(b.column("text"))
-                g, least, ok = _least(w)
-                if not len(least):
-                    continue
-                hits = np.fromiter((end - back for end, back in automaton.iter(_symbols(w.h).decode("utf-32-le"))), np.int64)
-                hits = hits[hits < len(g)]
-                seen = np.full(len(g), _TOP)
-                seen[hits] = g[hits]
-                s = np.flatnonzero(ok & (tk.sliding(seen, _PER) == least))
-                wh = tk.rolling(w.h, WINDOW)[s]
-                place = np.minimum(np.searchsorted(confirmed, wh), len(confirmed) - 1)
-                s = s[confirmed[place] == wh]
-                cut = np.searchsorted(s, w.first)
-                local = (s - np.repeat(w.first[:-1], np.diff(cut))).astype(np.int32)
-                for i in np.flatnonzero(np.diff(cut)).tolist():
-                    ids.append(b.column("row")[i].as_py())
-                    starts.append(_runs(local[cut[i] : cut[i + 1]]))
-    return pa.table([pa.array(ids, pa.string()), pa.array(starts, pa.list_(pa.int32()))], names=["row", "runs"])
+            seeds = b.column("seeds")
+            flat = seeds.flatten()
+            doc = np.repeat(np.arange(w.n), np.diff(seeds.offsets.to_numpy()))
+            at, shard = w.first[doc] + flat.field("at").to_numpy(zero_copy_only=False), flat.field("shard").to_numpy(zero_copy_only=False)
+            order = np.lexsort((at, shard, doc))
+            at, shard, doc = at[order], shard[order], doc[order]
+            lo, hi = np.maximum(at - (_PER - 1), w.first[doc]), np.minimum(at + WINDOW, w.first[doc + 1])
+            new = np.ones(len(at), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1])
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(at)) - 1 if len(begin) else begin
+            words = [w.h[x:y].tobytes() for x, y in zip(lo[begin].tolist(), hi[end].tolist())]
+            inside = at - np.repeat(lo[begin], np.diff(np.append(begin, len(at))))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row").take(pa.array(doc[begin])), b.column("copies").take(pa.array(doc[begin])), pa.array(shard[begin].astype(np.int32)), pa.array((lo[begin] - w.first[doc[begin]]).astype(np.int32)), pa.array(words, pa.binary()), _lists(inside.astype(np.int32), np.append(begin, len(at)), pa.int32())],
+                names=["row", "copies", "shard", "at", "words", "seeds"],
+            )
+
+
+def _flat(words: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all word hashes, first of each fragment and behind the last)."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in words]
+    return np.concatenate(parts or [np.zeros(0, np.uint64)]), np.cumsum([0, *map(len, parts)])
+
+
+def _inside(first: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of n window starts lies in one fragment."""
+    return np.arange(n) + WINDOW <= np.repeat(first[1:], np.diff(first))[:n]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, window hash, times) of the windows whose least seed recurs, added up in the batch."""
+    for b in batches:
+        h, first = _flat(b.column("words"))
+        n = len(h) - WINDOW + 1
+        if n <= 0:
+            continue
+        g = tk.rolling(h, SEED)
+        seeds = b.column("seeds")
+        at = np.repeat(first[:-1], np.diff(seeds.offsets.to_numpy())) + seeds.flatten().to_numpy(zero_copy_only=False)
+        seen = np.full(len(g), _TOP)
+        seen[at] = g[at]
+        s = np.flatnonzero(_inside(first, n) & (tk.sliding(seen, _PER) == tk.sliding(g, _PER)))
+        shard = b.column("shard").to_numpy()[np.searchsorted(first, s, "right") - 1]
+        pair = np.empty(len(s), [("shard", np.int32), ("window", np.uint64)])
+        pair["shard"], pair["window"] = shard, tk.rolling(h, WINDOW)[s]
+        pair, times = np.unique(pair, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pair["shard"]), pa.array(pair["window"].view(np.int64)), pa.array(times)], names=["shard", "window", "times"])
+
+
+def _symbols(h: np.ndarray, first: np.ndarray) -> str:
+    """One code point a word, from its hash, and a gap behind each fragment; hits are checked by full hashes."""
+    return np.insert((h & tk.U(0xFFFFF)) + tk.U(0x10000), first[1:], tk.U(_GAP)).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _locate(fragments: pa.Table, confirmed: pa.Table) -> pa.Table:
+    """Compile a shard's confirmed passages (for one salt, those of its fragments) and stream all its fragments through the automata."""
+    rows, runs = [], []
+    known = np.sort(confirmed.column("window").to_numpy().view(np.uint64))
+    h, first = _flat(fragments.column("words"))
+    n = len(h) - WINDOW + 1
+    if n > 0 and len(known):
+        wh = tk.rolling(h, WINDOW)
+        place = np.minimum(np.searchsorted(known, wh), len(known) - 1)
+        passages = np.flatnonzero((known[place] == wh) & _inside(first, n))
+        passages = passages[np.unique(wh[passages], return_index=True)[1]]  # where each passage is met first
+        text = _symbols(h, first)
+        shift = np.searchsorted(first, np.arange(len(h)), "right") - 1  # gaps before each word
+        starts = []
+        for cut in range(0, len(passages), PATTERNS):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for p in (passages[cut : cut + PATTERNS]).tolist():
+                x = p + int(shift[p])
+                automaton.add_word(text[x : x + WINDOW], p)
+            automaton.make_automaton()
+            hits = np.fromiter((x for hit in automaton.iter(text) for x in hit), np.int64).reshape(-1, 2)
+            start = hits[:, 0] - (WINDOW - 1)
+            start = start - (np.searchsorted(first[1:] + np.arange(1, len(first)), start, "right"))  # from symbols back to words
+            starts.append(start[wh[start] == wh[hits[:, 1]]])
+        found = np.sort(np.concatenate(starts or [np.zeros(0, np.int64)]))
+        of = np.searchsorted(first, found, "right") - 1
+        local = found - first[of] + fragments.column("at").to_numpy()[of]
+        cut = np.searchsorted(of, np.arange(fragments.num_rows + 1))
+        names = fragments.column("row").to_pylist()
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            rows.append(names[i])
+            runs.append(_runs(local[cut[i] : cut[i + 1]].astype(np.int32)))
+    return pa.table([pa.array(rows, pa.string()), pa.array(runs, pa.list_(pa.int32()))], names=["row", "runs"])
 
 
 def _runs(s: np.ndarray) -> list[int]:
@@ -196,20 +210,22 @@ def substring_dedup(docs: DataFrame, shard_bytes: int = 2 << 20, salt_bytes: int
     # ids may repeat: the text taken for a class is checked by its hash
     texts = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["th"] == found["th"])).select(F.col("sha").alias("row"), "text", "seeds")
     texts = table(texts.mapInArrow(_same, "row string, text string, seeds array<struct<at:int,shard:int>>").join(classes.select(F.col("sha").alias("row"), "copies"), "row"), "sub-texts")
-    confirmed = table(texts.select("text", "seeds").mapInArrow(_windows, "shard int, seed long, window long").groupBy("shard", "seed", "window").count().where("count > 1").drop("count"), "sub-windows")
-    phrases = texts.select("text", "seeds").mapInArrow(_phrases, "shard int, seed long, phrase binary").groupBy("shard", "seed").agg(F.first("phrase").alias("phrase")).join(confirmed.select("shard", "seed").distinct(), ["shard", "seed"], "left_semi")
-    patterns = confirmed.select("shard", "window", F.lit(None).cast("binary").alias("phrase")).unionByName(phrases.select("shard", F.lit(None).cast("long").alias("window"), "phrase"))
-    routed = texts.where("copies = 1").select("row", "text", F.explode(F.array_distinct("seeds.shard")).alias("shard"))
+    fragments = table(texts.mapInArrow(_fragments, "row string, copies long, shard int, at int, words binary, seeds array<int>"), "sub-fragments")
+    confirmed = fragments.select("shard", "words", "seeds").mapInArrow(_windows, "shard int, window long, times long").groupBy("shard", "window").agg(F.sum("times").alias("times"))
+    confirmed = table(confirmed.where("times > 1").drop("times"), "sub-windows")
+    # documents of classes with copies go as a whole, so only the others are searched
+    searched = fragments.where("copies = 1").select("shard", "row", "at", "words")
     # at most one row a shard, and the number of shards is known: broadcast only while that is small
-    load = routed.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("text")) / F.lit(salt_bytes)).cast("int").alias("salts"))
+    load = searched.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words")) / F.lit(salt_bytes)).cast("int").alias("salts"))
     load = table(load.withColumn("salts", F.greatest("salts", F.lit(1))), "sub-load")
     load = F.broadcast(load) if shards <= 100_000 else load
-    routed = routed.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
-    patterns = patterns.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    hits = routed.select("shard", "salt", "row", "text").groupBy("shard", "salt").cogroup(patterns.select("shard", "salt", "window", "phrase").groupBy("shard", "salt")).applyInArrow(_locate, "row string, runs array<int>")
+    searched = searched.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
+    confirmed = confirmed.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    hits = searched.select("shard", "salt", "row", "at", "words").groupBy("shard", "salt").cogroup(confirmed.select("shard", "salt", "window").groupBy("shard", "salt")).applyInArrow(_locate, "row string, runs array<int>")
     runs = hits.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     stripped = texts.where("copies = 1").select("row", "text").join(runs, "row").mapInArrow(_strip, "row string, gone long, kept string")
-    out = base.select("doc_id", "n_words", "sha").join(classes.select("sha", "copies"), "sha", "left").join(stripped.withColumnRenamed("row", "sha"), "sha", "left")
+    of_class = table(classes.select("sha", "copies").join(stripped.withColumnRenamed("row", "sha"), "sha", "left"), "sub-results")
+    out = join_classes(base.select("doc_id", "n_words", "sha"), of_class, ["sha"], "copies", base.count())
     whole = F.col("copies") > 1
     return out.select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"), F.when(whole, F.lit(_EMPTY)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
 

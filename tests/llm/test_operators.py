@@ -442,36 +442,81 @@ def test_alignment_equals_full_matrix():
         assert decontaminate.align(a, b)[0] == h.max()
 
 
+def ngram_counts(tokens, rows):
+    one, two, three, starts = Counter(), Counter(), Counter(), 0
+    for i in rows:
+        t = tokens[i]
+        starts += 1
+        one.update(t)
+        two.update(zip([None, *t], t))
+        three.update(zip([None, *t], t, t[1:]))
+    return one, two, three, one | Counter({None: starts})
+
+
+def mixed(counts, total, weights, u, v, w):
+    """(P1, bigram and trigram estimates, counts of both contexts) of w behind v behind u; u is False for a text's first token."""
+    one, two, three, contexts = counts
+    n = sum(one.values())
+    p1 = weights.unigram * one[w] / n + (1 - weights.unigram) / (total + 1)
+    cv, cuv = contexts[v], 0 if u is False else two[u, v]
+    return p1, two[v, w] / cv if cv else 0, three[u, v, w] / cuv if cuv else 0, cv, cuv
+
+
 def test_lm_score(spark, texts):
-    got = {r["doc_id"]: r for r in lm_scoring.lm_score(make(spark, texts), block_bytes=20_000).collect()}
+    rng = random.Random(21)
+    chain = lambda n: " ".join(f"c{k % 7} d{(k * k) % 5}" for k in range(rng.randrange(50), rng.randrange(60, 60 + n)))
+    texts = texts + [chain(40) for _ in range(60)] + [texts[6], texts[6]]
+    docs = make(spark, texts)
+    got = {r["doc_id"]: r for r in lm_scoring.lm_score(docs, block_bytes=20_000).collect()}
+    weights = lm_scoring.fit(docs, block_bytes=200_000)[2]
     tokens = [WORD.findall((t or "").translate(LOWER)) + ["\n"] for t in texts]
     part = [zlib.crc32(str(i).encode()) % 5 for i in range(len(texts))]
-    count = Counter(x for i, t in enumerate(tokens) if part[i] != 1 for x in t)
-    n, v = sum(count.values()), len(count)
-    pairs, contexts = Counter(), Counter()
-    for i, t in enumerate(tokens):
-        if part[i] != 1:
-            for a, b in zip([None, *t], t):
-                pairs[a, b] += 1
-                contexts[a] += 1
+    of = lambda keep: ngram_counts(tokens, [i for i in range(len(texts)) if keep(part[i])])
+    every, kept = of(lambda p: p != 1), of(lambda p: p > 1)
+    n, v = sum(every[0].values()), len(every[0])
+    each = lambda t: zip([False, None, *t], [None, *t], t)
+    bucket = lambda c: c.bit_length()
     for i, t in enumerate(tokens):
         r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (part[i] == 1, len(t), sum(x in count for x in t), n)
-        one = [(count[x] + 0.5) / (n + 0.5 * (v + 1)) for x in t]
-        assert math.isclose(r["base_score"], sum(map(math.log10, one)), rel_tol=1e-9)
-        # between all weight on the unigrams and on the better of both
-        best = [max(p, pairs[a, b] / contexts[a] if contexts[a] else 0) for p, a, b in zip(one, [None, *t], t)]
-        assert r["score"] <= sum(map(math.log10, best)) + 1e-6
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (part[i] == 1, len(t), sum(x in every[0] for x in t), n)
+        assert math.isclose(r["base_score"], sum(math.log10((every[0][x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), rel_tol=1e-9)
+        want = 0.0
+        for x in each(t):
+            p1, p2, p3, cv, cuv = mixed(every, v, weights, *x)
+            p2 = weights.two[bucket(cv)] * p2 + (1 - weights.two[bucket(cv)]) * p1
+            want += math.log10(weights.three[bucket(cuv)] * p3 + (1 - weights.three[bucket(cuv)]) * p2)
+        assert math.isclose(r["score"], want, rel_tol=1e-9), i
+    # expectation-maximisation on the events themselves
+    unigram, two, three = [], {}, {}
+    for i, t in enumerate(tokens):
+        for x in each(t) if part[i] == 0 else []:
+            p1, p2, p3, cv, cuv = mixed(kept, v, weights, *x)
+            unigram.append(kept[0][x[2]] / sum(kept[0].values()) * (v + 1))
+            two.setdefault(bucket(cv), []).append(p2 / p1)
+            lower = weights.two[bucket(cv)] * p2 / p1 + 1 - weights.two[bucket(cv)]
+            three.setdefault(bucket(cuv), []).append(p3 / p1 / lower)
+    em = lambda r: lm_scoring.em_weight(np.array(r), np.ones(len(r)))
+    assert abs(em(unigram) - weights.unigram) < 0.03 and len(two) > 3 and len(three) > 3
+    for exact, learned in ((two, weights.two), (three, weights.three)):
+        for k, r in exact.items():
+            assert k == 0 or len(r) < 30 or abs(em(r) - learned[k]) < 0.06, (k, em(r), learned[k])
     assert lm_scoring.lm_score(spark.createDataFrame([], SCHEMA)).count() == 0
+    lonely = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    alone = lm_scoring.lm_score(spark.createDataFrame([(lonely, "a b")], "doc_id long, text string")).first()
+    assert (alone["train_tokens"], alone["n_known"], alone["score"]) == (0, 0, 0.0)
 
 
 def test_em_finds_the_mixture():
-    rng = random.Random(1)
-    # ratio 4 with probability 0.7, ratio 0 otherwise: likelihood peaks where the mean of r / (w r + 1 - w) is 1
-    rows = [(3, 32, 700), (3, -100_000, 300)]
-    w = lm_scoring.em_weights(rows, rounds=500)[3]
+    # ratio 4 in 700 events and 0 in 300: the likelihood peaks where 700 * 3 / (1 + 3 w) = 300 / (1 - w)
+    w = lm_scoring.em_weight(np.array([4.0, 0.0]), np.array([700.0, 300.0]))
     assert abs(700 * 3 / (1 + 3 * w) - 300 / (1 - w)) < 1
-    assert rng and lm_scoring.em_weights([])[5] == 0
+    out = lm_scoring.em_weights(np.array([3, 3]), np.array([4.0, 0.0]), np.array([700.0, 300.0]))
+    assert out[3] == w == out[9] and out[0] == out[2] == 0
+
+
+def test_packed_counts():
+    for x in ([], [0], [1, 254, 255, 256, 3, 1 << 40], list(range(1000))):
+        assert lm_scoring.unpack(lm_scoring.pack(np.array(x, np.int64))).tolist() == x
 
 
 def test_packed_hashes():

@@ -12,8 +12,11 @@ bin is downsized to the smallest permitted capacity that holds its contents.
 Shards depend on ids and total size alone, so a rerun after a lost executor packs alike.  A shard is the unit of memory: raise the number of shards,
 never the size.  A piece row has its place, so bins can be written by grouping on (shard, bin).
 
+Rows that repeat an id (or, with a null id, a text) would share a shard.  Ids with over half a shard's bytes are counted, and their rows are dealt over as many
+shards as their bytes need, by their place in the input; all other rows by the hash alone.
+
 Defined results: a text without words has one piece of its end token; null text counts as empty; a null id is dealt by its text; repeated rows are packed as the
-rows they are.
+rows they are; pieces of equal size keep the order of hash and length; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import tune
+from .common import table, tune
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
+#: With up to so many shards the heavy ids, two a shard at most, are broadcast.
+BROADCAST_SHARDS = 100_000
 _OUT = "doc_id long, piece int, first_token long, n_tokens int, shard int, bin int, offset int, capacity int, bin_tokens int"
 
 
@@ -103,4 +108,12 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacities: Sequence[int
     total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     # bytes / 2 + rows is never less than the number of word tokens, and needs no second tokenisation
     shards = max(1, -(-((total["b"] or 0) // 2 + total["n"]) // shard_tokens))
-    return rows.withColumn("shard", F.pmod(F.col("tie"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(lambda t: _pack(t, capacities, overhead), _OUT)
+    load = F.coalesce(F.octet_length("text"), F.lit(0)) / 2 + 1
+    heavy = docs.groupBy(tie.alias("tie")).agg(F.sum(load).alias("load")).where(F.col("load") > shard_tokens / 2)
+    # at most two a shard, so their number is bounded by that of shards
+    heavy = table(heavy.select("tie", F.ceil(F.col("load") / (shard_tokens / 2)).cast("long").alias("pieces")), "packing-heavy")
+    deal = F.col("tie")
+    if heavy.limit(1).count():
+        rows = rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(heavy) if shards <= BROADCAST_SHARDS else heavy, "tie", "left")
+        deal = F.when(F.col("pieces").isNotNull(), F.xxhash64("tie", F.pmod("place", "pieces"))).otherwise(deal)
+    return rows.select("doc_id", "tokens", "tie", F.pmod(deal, F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(lambda t: _pack(t, capacities, overhead), _OUT)

@@ -5,12 +5,13 @@ projection of hashed words, and shares of word shapes; a learned layer follows.
 
     a = softmax( w . (tanh(V h) * sigmoid(U h)) ),    z = sum a h,    score = sigmoid(c . z + b)
 
-and all parameters are learned together from document labels by Adam on the logistic loss.  Training takes at most
-``sample_rows`` labelled rows, picked by a hash of the id: features are made in tasks, the small matrix is fitted on the driver, and
+and all parameters are learned together from document labels by Adam on the logistic loss.  Training takes about
+``sample_rows`` labelled rows and ``sample_passages`` passages, picked by a hash of the id: features are made in tasks, the small matrix is fitted on the driver, and
 the parameters (a few thousand numbers) go back to all tasks, which encode and score whole texts.
 
 Defined results: null and empty texts are one all-zero passage and get a score as others; labels that are null are ignored, and of repeated
-labels of one id the largest counts; without labels of both kinds the score is their share, or 0.5 with none.
+labels of one id the largest counts; rows that repeat an id are examples each; without labels of both kinds the score is their share, or 0.5 with none;
+a text of any length is scored by all its passages; an empty table gives no rows; other columns of the input keep their values in ``score``.
 """
 
 from __future__ import annotations
@@ -139,13 +140,23 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], names=["doc_id", "quality", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3_000) -> Model:
-    """Fit on docs(doc_id, text) with labels(doc_id, quality): rows with crc32(doc_id) mod 3 other than 1, at most about ``sample_rows``."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3_000, sample_passages: int = 200_000) -> Model:
+    """Fit on docs(doc_id, text) with labels(doc_id, quality): rows with crc32(doc_id) mod 3 other than 1.
+
+    The sample is bounded by two documented parameters: about ``sample_rows`` labelled ids, fewer where their passages (bytes / 128 + 1 each, 136 bytes of
+    features a passage) would be more than ``sample_passages``.  Ids are picked by a hash, so a rerun fits on the same rows.
+    """
     learn = crc_mod("doc_id", 3) != 1
     own = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    every = max(1, own.count() // sample_rows)
-    picked = learn & (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(every)) == 0)
-    rows = docs.where(picked).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(own.where(picked), "doc_id")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 40))
+    share = min(1.0, sample_rows / max(1, own.count()))
+
+    def picked(part: float) -> DataFrame:
+        mine = learn & (place < int(part * (1 << 40)))
+        return docs.where(mine).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(own.where(mine), "doc_id")
+
+    passages = picked(share).agg(F.sum(F.octet_length("text") / 128 + 1)).first()[0] or 0
+    rows = picked(share * min(1.0, sample_passages / max(1.0, passages)))
     got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(_examples, "doc_id long, quality int, x binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["x"])))
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in got]

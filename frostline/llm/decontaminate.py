@@ -7,12 +7,14 @@ document and item that lie near one diagonal form a passage, and a local alignme
 gap -1) scores it, so edited and paraphrased copies with changed, lost or added words still align.
 
 score = best alignment score / (2 * words of the item); a document is contaminated by an item at ``threshold`` or more.
-Equal passages are aligned once a batch.  The seed table follows the benchmark: it is counted, and broadcast up to
-``broadcast_seeds`` rows; a larger benchmark is joined by shuffling seed hashes of the documents instead.
+Equal passages are aligned once a batch.  Seeds and items are two tables.  They follow the benchmark: both are sized, and broadcast up to
+``broadcast_seeds`` seeds and ``broadcast_words`` words; a larger benchmark is joined by shuffling the seed hashes of the documents that pass a
+bitmap of all seeds (fixed size) instead, and each document meets its items in one row.
 Both ways count occurrences, keep the same seeds and align around the kept ones only, so their results are equal.
 
 Words are lower-cased (A-Z) and stripped of outer ASCII punctuation.  Items with fewer than ``SEED`` words use all their words as
-one seed and must match it whole.  Null texts and items have no words and match nothing; of repeated ids each row counts.
+one seed and must match it whole.  Null texts and items have no words and match nothing; of repeated ids each row counts; of equally good passages of a document
+the first is reported; items and texts may have any length; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,21 +40,21 @@ def clean_words(texts: pa.Array) -> tk.Words:
     return tk.words(pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))))
 
 
-def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All seeds of items: (item_id, at, seed) and the item's word hashes."""
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items and the hashes of their words."""
     for batch in batches:
         for b in tk.slices(batch):
             w = clean_words(b.column("text"))
-            ids, at, seed, words = [], [], [], []
-            for i, item in enumerate(b.column("item_id").to_pylist()):
-                h = w.h[w.first[i] : w.first[i + 1]]
-                if len(h):
-                    g = tk.rolling(h, min(SEED, len(h)))
-                    ids += [item] * len(g)
-                    at += range(len(g))
-                    seed += g.view(np.int64).tolist()
-                    words += [h.tobytes()] * len(g)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(seed, pa.int64()), pa.array(words, pa.binary())], names=["item_id", "at", "seed", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array([w.h[i:j].tobytes() for i, j in zip(w.first[:-1], w.first[1:])], pa.binary())], names=["item_id", "words"])
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All seeds of items: (item, at, seed)."""
+    for b in batches:
+        for item, words in zip(b.column("item").to_pylist(), b.column("words")):
+            h = np.frombuffer(words.as_buffer(), np.uint64)
+            g = tk.rolling(h, min(SEED, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), item)), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(g.view(np.int64))], names=["item", "at", "seed"])
 
 
 class Lookup:
@@ -60,11 +62,13 @@ class Lookup:
 
     def __init__(self, seeds: np.ndarray):
         self.seeds = np.unique(seeds)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.seeds >> tk.U(44)).astype(np.int64)] = True
+        #: Bits of a hash that the bitmap tells apart: 16 places a seed, up to a million.
+        self.shift = tk.U(64 - min(20, max(4, (16 * len(self.seeds)).bit_length())))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[(self.seeds >> self.shift).astype(np.int64)] = True
 
     def hits(self, g: np.ndarray) -> np.ndarray:
-        some = np.flatnonzero(self.bits[(g >> tk.U(44)).astype(np.int64)])
+        some = np.flatnonzero(self.bits[(g >> self.shift).astype(np.int64)])
         if not len(some) or not len(self.seeds):
             return np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.seeds, g[some]), len(self.seeds) - 1)
@@ -155,10 +159,13 @@ def _scan(batches: Iterator[pa.RecordBatch], seeds: np.ndarray, item: np.ndarray
 _FOUND = "doc_id long, item_id long, seed_hits int, score double, first_word int, end_word int"
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
-    """All seeds of items(item_id, text): (item_id, at, seed, words); rows of one id with equal words are one item."""
+def benchmark_tables(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items (item, item_id, words) with words, and their seeds (item, at, seed); rows of one id with equal words are one item."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return table(rows.mapInArrow(_item_rows, "item_id long, at int, seed long, words binary").distinct(), "dc-seeds")
+    words = rows.mapInArrow(_item_words, "item_id long, words binary").where(F.length("words") > 0).distinct()
+    # numbered once in a table: the number is the item's key everywhere
+    items = table(words.withColumn("item", F.monotonically_increasing_id()), "dc-items")
+    return items, table(items.select("item", "words").mapInArrow(_item_seeds, "item long, at int, seed long"), "dc-seeds")
 
 
 def rare(n: np.ndarray) -> np.ndarray:
@@ -175,29 +182,26 @@ def rare(n: np.ndarray) -> np.ndarray:
 def _rare_rows(t: pa.Table) -> pa.Table:
     """The seeds of one item that are kept."""
     t = t.sort_by("at")
-    return t.filter(pa.array(rare(t.column("n").to_numpy()))).select(["item_id", "words", "item", "seed", "at"])
+    return t.filter(pa.array(rare(t.column("n").to_numpy()))).select(["item", "seed", "at"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, broadcast_seeds: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, broadcast_seeds: int = 200_000, broadcast_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, seed_hits, score, first_word, end_word) of every contaminated document and item."""
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seeds = item_seeds(benchmark)
-    size = seeds.count()
-    if size == 0:
+    items, seeds = benchmark_tables(benchmark)
+    total = items.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0)).alias("words")).first()["words"]
+    if total == 0:
         return spark.createDataFrame([], _FOUND)
-    if size > broadcast_seeds:
-        return _joined(rows, seeds, threshold)
-    got = seeds.orderBy("item_id", "words", "at").collect()
-    items: dict[tuple, int] = {}
-    for r in got:
-        items.setdefault((r["item_id"], bytes(r["words"])), len(items))
-    names = [k[0] for k in items]
-    words = {i: np.frombuffer(k[1], np.uint64) for k, i in items.items()}
-    item = np.array([items[r["item_id"], bytes(r["words"])] for r in got], np.int64)
-    at = np.array([r["at"] for r in got], np.int64)
-    seed = np.array([r["seed"] for r in got], np.int64).view(np.uint64)
+    if total > broadcast_words or seeds.count() > broadcast_seeds:
+        return _joined(rows, items, seeds, threshold)
+    own = items.orderBy("item").toArrow()
+    number = {x: i for i, x in enumerate(own.column("item").to_pylist())}
+    names, words = own.column("item_id").to_pylist(), {i: np.frombuffer(x.as_buffer(), np.uint64) for i, x in enumerate(own.column("words"))}
+    got = seeds.orderBy("item", "at").toArrow()
+    item = np.array([number[x] for x in got.column("item").to_pylist()], np.int64)
+    at, seed = got.column("at").to_numpy().astype(np.int64), got.column("seed").to_numpy().view(np.uint64)
     sizes = sorted({min(SEED, len(x)) for x in words.values()})
     lookup = spark.sparkContext.broadcast(np.unique(seed))
 
@@ -212,50 +216,69 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(look.seeds[some].view(np.int64)), pa.array(total[some])], names=["seed", "n"])
 
-    frequency = {r["seed"]: r["n"] for r in rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()} if size else {}
+    frequency = {r["seed"]: r["n"] for r in rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()}
     n = np.array([frequency.get(int(x), 0) for x in seed.view(np.int64)], np.int64)
     keep = np.zeros(len(seed), bool)
-    for i in range(len(names)):
-        own = np.flatnonzero(item == i)
-        keep[own] = rare(n[own])
+    cut = np.searchsorted(item, np.arange(len(names) + 1))
+    for i, j in zip(cut[:-1], cut[1:]):
+        keep[i:j] = rare(n[i:j])
     sent = spark.sparkContext.broadcast((seed[keep], item[keep], at[keep], words, names))
     return rows.mapInArrow(lambda x: _scan(x, *sent.value, threshold), _FOUND)
 
 
-def _joined(rows: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
+#: log2 of the bits in the bitmap of a large benchmark's seeds: 16 MB whatever the benchmark.
+BITMAP = 27
+
+
+def seed_bitmap(seeds: DataFrame) -> np.ndarray:
+    """A bit for each value of the upper ``BITMAP`` bits of the seeds; made by an aggregation, so at most 2**BITMAP / 64 rows come to the driver."""
+    place = F.shiftrightunsigned("seed", 64 - BITMAP)
+    rows = seeds.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _joined(rows: DataFrame, items: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
     """For benchmarks too large to broadcast: the documents' seed hashes are shuffled to the items' seeds, then items to the documents they hit."""
-    sizes = [r[0] for r in seeds.select(F.least(F.lit(SEED), (F.length("words") / 8).cast("int"))).distinct().collect()]
+    sizes = [r[0] for r in items.select(F.least(F.lit(SEED), (F.length("words") / 8).cast("int"))).distinct().collect()]
+    bitmap = rows.sparkSession.sparkContext.broadcast(seed_bitmap(seeds))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
         for batch in batches:
             for b in tk.slices(batch):
                 w = clean_words(b.column("text"))
                 at, g = _seeds_of(w, sizes)
+                place = g >> tk.U(64 - BITMAP)
+                some = (bits[(place >> tk.U(6)).astype(np.int64)] >> (place & tk.U(63))) & tk.U(1) > 0
+                at, g = at[some], g[some]
                 doc = np.searchsorted(w.first, at, "right") - 1
                 pair, n = np.unique(np.stack([doc.astype(np.uint64), g]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(pair[0].astype(np.int64))), pa.array(pair[1].view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "seed", "n"])
 
-    # rows and items are joined by hashes of all they have, so null and repeated ids count; a collision only adds a candidate that scores nothing
+    # rows are joined by a hash of all they have, so null and repeated ids count; a collision only adds a candidate that scores nothing
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    seeds = seeds.withColumn("item", F.xxhash64("item_id", "words"))
-    hashes = rows.select("row", "text").mapInArrow(emit, "row long, seed long, n long").join(seeds.select("seed").distinct(), "seed", "left_semi")
+    hashes = table(rows.select("row", "text").mapInArrow(emit, "row long, seed long, n long").join(seeds.select("seed").distinct(), "seed", "left_semi"), "dc-hits")
     counted = hashes.groupBy("seed").agg(F.sum("n").alias("n"))
     found = seeds.join(counted, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    kept = table(found.groupBy("item_id", "words").applyInArrow(_rare_rows, "item_id long, words binary, item long, seed long, at int"), "dc-rare")
-    items = kept.groupBy("item_id", "words", "item").agg(F.sort_array(F.collect_list(F.struct("at", "seed"))).alias("kept"))
-    items = items.select("item_id", "words", "item", F.col("kept.seed").alias("seeds"), F.col("kept.at").alias("ats"))
-    pairs = hashes.join(kept.select("seed", "item").distinct(), "seed").select("row", "item").distinct()
-    both = rows.join(pairs.join(items, "item"), "row")
+    kept = table(found.groupBy("item").applyInArrow(_rare_rows, "item long, seed long, at int"), "dc-rare")
+    of_item = items.join(kept.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("at", "seed"))).alias("kept")), "item")
+    pairs = hashes.select("row", "seed").join(kept.select("seed", "item").distinct(), "seed").select("row", "item").distinct()
+    of_row = pairs.join(of_item, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "words", F.col("kept.seed").alias("seeds"), F.col("kept.at").alias("ats"))).alias("items"))
+    both = rows.join(of_row, "row")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = batch.slice(i, 1)
-                a = np.frombuffer(b.column("words")[0].as_py(), np.uint64)
-                g, at = (b.column(c)[0].values.to_numpy().astype(np.int64) for c in ("seeds", "ats"))
-                yield from _scan([b.select(["doc_id", "text"])], g.view(np.uint64), np.zeros(len(g), np.int64), at, {0: a}, [b.column("item_id")[0].as_py()], threshold)
+                own = b.column("items").flatten()
+                g, at = (own.field(c).flatten().to_numpy().astype(np.int64) for c in ("seeds", "ats"))
+                item = np.repeat(np.arange(len(own)), np.diff(own.field("seeds").offsets.to_numpy()))
+                words = {k: np.frombuffer(x.as_buffer(), np.uint64) for k, x in enumerate(own.field("words"))}
+                yield from _scan([b.select(["doc_id", "text"])], g.view(np.uint64), item, at, words, own.field("item_id").to_pylist(), threshold)
 
-    return both.select("doc_id", "text", "item_id", "words", "seeds", "ats").mapInArrow(score, _FOUND)
+    return both.select("doc_id", "text", "items").mapInArrow(score, _FOUND)
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

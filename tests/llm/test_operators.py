@@ -355,6 +355,9 @@ def test_rare_language_beside_a_hot_one_keeps_its_ngrams(spark):
     rare = [" ".join(rng.choices(own, k=20)) for _ in range(6)]
     docs = spark.createDataFrame([("hot", t) for t in hot] + [("rare", t) for t in rare], "lang string, text string").repartition(4)
     model = language_id.train(docs)
+    counted = docs.where(~language_id.held_for_calibration(5)).collect()
+    rare, hot = ([r["text"] for r in counted if r["lang"] == x] for x in ("rare", "hot"))
+    assert 2 <= len(rare) < 6
     for run in (own[0], own[1] + own[2], "zzz"):
         assert math.isclose(model.bits([run])[0][0, model.langs.index("rare")], kneser_ney(rare, run), rel_tol=1e-4)
     assert math.isclose(model.bits([own[3]])[0][0, model.langs.index("hot")], kneser_ney(hot, own[3]), rel_tol=1e-4)
@@ -362,7 +365,7 @@ def test_rare_language_beside_a_hot_one_keeps_its_ngrams(spark):
     rows = spark.createDataFrame([(i if i % 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = [sorted(map(str, language_id.identify(rows, m).collect())) for m in (model, language_id.train(docs, broadcast_numbers=0))]
     assert got[0] == got[1]
-    assert {r["lang_pred"] for r in language_id.identify(rows.where("doc_id > 20 and doc_id < 27"), model).collect()} == {"rare"}
+    assert {r["lang_pred"] for r in language_id.identify(rows.where(f"doc_id > 20 and doc_id <= {20 + len(rare)}"), model).collect()} == {"rare"}
 
 
 def _before(model, context, c):
@@ -640,3 +643,34 @@ def test_warc_members_are_read_in_linear_time():
     assert seconds(8000) < 12 * max(seconds(2000), 0.01)
     with pytest.raises(ValueError, match="ends inside"):
         list(warc.members(warc.member([], b"x" * 500)[:-5]))
+
+
+def test_packing_deals_a_heavy_id_over_shards(spark):
+    rows = [(7, "w " * 50)] * 3000 + [(None, "v " * 50)] * 2000 + [(i, "u " * 40) for i in range(100, 300)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), shard_tokens=20_000)
+    load = {r["shard"]: r["t"] for r in out.groupBy("shard").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert sum(load.values()) == 3000 * 51 + 2000 * 51 + 200 * 41 and max(load.values()) < 70_000 and len(load) > 6
+    assert out.where("offset = 0").groupBy("shard", "bin").count().where("count > 1").count() == 0
+
+
+def test_decontamination_of_long_items_and_repeated_ids(spark):
+    rng = random.Random(31)
+    long = prose(rng, 17_000, 9_000)
+    part = " ".join(long.split()[:15_000])
+    docs = spark.createDataFrame([(1, f"{prose(rng, 20)} {part}"), (None, part), (2, prose(rng, 300)), (1, part), (1, None), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, long), (6, None), (6, ""), (None, long)], "item_id long, text string")
+    key = lambda df: sorted((r["doc_id"] or 0, r["item_id"] or 0, r["seed_hits"], round(r["score"], 6), r["first_word"], r["end_word"]) for r in df.collect())
+    got = key(decontaminate.contaminated(docs, items))
+    assert [x[:2] for x in got] == [(0, 0), (0, 5), (1, 0), (1, 0), (1, 5), (1, 5)] and all(x[3] > 0.8 for x in got)
+    assert key(decontaminate.contaminated(docs, items, broadcast_words=0)) == got
+
+
+def test_classifier_sample_is_bounded(spark, monkeypatch):
+    rng = random.Random(32)
+    docs = spark.createDataFrame([(i, prose(rng, 2000)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_classifier.Model, "fit", lambda self, x, first, y, **k: seen.append((len(x), len(y))) or self)
+    for options in ({}, {"sample_passages": 300}, {"sample_rows": 5}):
+        quality_classifier.train(docs, labels, **options)
+    assert seen[0][1] > 30 and seen[1][0] <= 500 and seen[2][1] <= 12

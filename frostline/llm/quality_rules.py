@@ -1,20 +1,24 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant (MCD) estimates.
 
-Each document becomes a vector of transformed statistics.  Per (language, source) the estimator starts from
-medians and MADs and runs concentration steps: keep the ``support`` share of rows nearest to the centre, take their
-mean and covariance, repeat.  A step is one aggregation by (group, distance bin): every bin carries its
-count, sums and products, so the nearest rows are whole bins taken by a running count.  No group is gathered in a task:
-a hot source only adds to the same few hundred bins.  The subset thus ends at a bin edge (1/16 octave of distance).
-
-Groups with under ``min_group`` rows use the estimate of their language, and those under it that of all rows.  Covariances get a floor on
-the diagonal, since statistics such as symbols per word are constant on clean text.
-
-Defined results: null text counts as empty (0 words, base_failed, not kept); null lang or source is a group of its own name ''.
+Each document becomes a vector of transformed statistics.  Per (language, source) the estimator takes three deterministic starts (medians and MADs; the
+mean and covariance of all rows; those of rows clipped to two MADs) through concentration steps: keep the ``support`` share of rows nearest to the
+centre, take their mean and covariance, repeat.  After ``TRIALS`` steps the start with the least determinant goes on until its determinant settles.
+A step is one aggregation by (group, start, distance bin): every bin carries its count, sums and products, so the nearest rows are whole bins
+taken by a running count.  No group is gathered in a task: a hot source only adds to the same few hundred bins.  The subset thus ends at a bin edge (1/16
+octave of distance).
+
+Groups with under ``min_group`` rows use the estimate of their language, made from all its rows, and languages under it that of all rows.  Covariances are
+scaled to be consistent with the support, and each variance is at least the square of ``SHARE`` of the group's own MAD or of ``FLOOR``, since statistics such
+as symbols per word are constant on clean text.
+
+Defined results: null text counts as empty (0 words, base_failed, not kept); null lang or source is a group of its own name ''; repeated rows and ids are
+the rows they are; rows at equal distance are in the support together; a text of any length is one vector; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,10 @@ from .common import table, tune
 
 STATS = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "other_share")
 P = len(STATS)
-#: Least standard deviation of each transformed statistic.
-FLOOR = (1.0, 0.05, 0.08, 0.15, 0.15, 0.05, 0.05, 0.05)
+#: Least standard deviation of each transformed statistic, for groups without spread, and the least share of a group's scaled MAD.
+FLOOR = (0.5, 0.03, 0.05, 0.15, 0.15, 0.03, 0.03, 0.03)
+SHARE = 0.8
+TRIALS = 2
 #: Added to denominators, so shares of very short texts shrink towards 0.
 SHORT_CHARS = 200
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -119,21 +125,31 @@ def _distance(x: list[Column], centre: Column, white: Column) -> Column:
 
 
 def _fit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mean and whitening of each group from its summed count, sums and products."""
+    """Mean, whitening and log determinant of each group and start from its summed count, sums, products, floors and consistency factor."""
     for b in rows:
-        keys, centres, whites = [], [], []
+        out: list[list] = [[], [], [], [], []]
         for r in b.to_pylist():
-            n, m = max(r["n"], 1), np.array([r[f"s{i}"] for i in range(P)])
-            mean, cov = m / n, np.zeros((P, P))
-            for i in range(P):
-                for j in range(i + 1):
-                    cov[i, j] = cov[j, i] = r[f"q{i}_{j}"] / n - mean[i] * mean[j]
-            cov = cov + np.diag(np.square(FLOOR))
-            keys.append(r["key"])
-            centres.append(mean.tolist())
-            whites.append(np.linalg.inv(np.linalg.cholesky(cov)).ravel().tolist())
-        kind = pa.list_(pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(centres, kind), pa.array(whites, kind)], names=["key", "centre", "white"])
+            mean, cov = fitted(max(r["n"], 1), np.array([r[f"s{i}"] for i in range(P)]), {(i, j): r[f"q{i}_{j}"] for i in range(P) for j in range(i + 1)}, r["factor"], np.array(r["floor"]))
+            white = np.linalg.inv(np.linalg.cholesky(cov))
+            for values, x in zip(out, (r["key"], r["start"], mean.tolist(), white.ravel().tolist(), float(np.linalg.slogdet(cov)[1]))):
+                values.append(x)
+        kinds = (pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "start", "centre", "white", "logdet"])
+
+
+def fitted(n: int, sums: np.ndarray, products: dict[tuple[int, int], float], factor: float, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean, cov = sums / n, np.zeros((P, P))
+    for (i, j), q in products.items():
+        cov[i, j] = cov[j, i] = factor * (q / n - mean[i] * mean[j])
+    return mean, cov + np.diag(np.maximum(np.square(floor) - np.diag(cov), 0) + 1e-9)
+
+
+def consistency(support: float) -> float:
+    """Factor by which the covariance of the nearest ``support`` of normal rows is too small (Wilson-Hilferty)."""
+    normal = NormalDist()
+    q = chi2_quantile(normal.inv_cdf(support)) if support < 1 else np.inf
+    p = P + 2
+    return support / normal.cdf(((q / p) ** (1 / 3) - (1 - 2 / (9 * p))) / (2 / (9 * p)) ** 0.5) if support < 1 else 1.0
 
 
 def chi2_quantile(z: float, p: int = P) -> float:
@@ -141,10 +157,11 @@ def chi2_quantile(z: float, p: int = P) -> float:
     return p * (1 - 2 / (9 * p) + z * (2 / (9 * p)) ** 0.5) ** 3
 
 
-def mcd_outliers(docs: DataFrame, support: float = 0.75, steps: int = 4, z_cut: float = 3.09, min_group: int = 60, broadcast_groups: int = 20_000) -> DataFrame:
+def mcd_outliers(docs: DataFrame, support: float = 0.75, steps: int = 12, z_cut: float = 3.09, min_group: int = 60, broadcast_groups: int = 20_000, settled: float = 0.01) -> DataFrame:
     """doc_id, lang, source, base statistics, STATS, group key, distance2 (rescaled) and outlier of each row of docs(doc_id, text, lang, source).
 
     The number of groups is counted, and the table of estimates broadcast only up to ``broadcast_groups``; beyond, it is an ordinary join.
+    Steps end when no group's log determinant changes by ``settled`` or more, or after ``steps``.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -152,39 +169,69 @@ def mcd_outliers(docs: DataFrame, support: float = 0.75, steps: int = 4, z_cut:
     schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in BASE) + ", " + ", ".join(f"{c} double" for c in STATS)
     stats = table(cols.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(statistics, schema), "mcd-stats")
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    pairs = stats.groupBy(lang.alias("l"), source.alias("s")).count()
-    by_lang = Window.partitionBy("l")
-    key = F.when(F.col("count") >= min_group, F.concat_ws("\x01", F.lit("ls"), "l", "s")).when(F.sum("count").over(by_lang) >= min_group, F.concat_ws("\x01", F.lit("l"), "l")).otherwise(F.lit("all"))
-    keys = table(pairs.select("l", "s", key.alias("key")), "mcd-keys")
+    keys = table(_groups(stats.groupBy(lang.alias("l"), source.alias("s")).count(), min_group), "mcd-keys")
     small = keys.count() <= broadcast_groups
 
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    rows = stats.join(side(keys), (lang == F.col("l")) & (source == F.col("s"))).drop("l", "s")
+    grouped = stats.join(side(keys), (lang == F.col("l")) & (source == F.col("s"))).drop("l", "s")
+    # a row counts in every estimate that it belongs to, and is judged by one
+    rows, judged = grouped.select(F.explode("fits").alias("key"), *STATS), grouped.drop("fits")
     x = [F.col(c) for c in STATS]
-    medians = rows.groupBy("key").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)))
-    spread = rows.join(side(medians), "key").groupBy("key").agg(*(F.percentile_approx(F.abs(c - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, c in enumerate(x)), *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)))
-    scale = [F.lit(1.0) / F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOOR[i] ** 2) for i in range(P)]
-    est = table(spread.select("key", F.array(*(F.col(f"m{i}") for i in range(P))).alias("centre"), F.array(*(scale[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P))).alias("white")), "mcd-start")
-    fit_schema = "key string, centre array<double>, white array<double>"
-    running = Window.partitionBy("key").orderBy("bin")
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i in range(P) for j in range(i + 1)]
+    medians = rows.groupBy("key").agg(F.array(*(F.percentile_approx(c, 0.5, 1000) for c in x)).alias("median"))
+    spread = rows.join(side(medians), "key").groupBy("key").agg(F.first("median").alias("median"), F.array(*(1.4826 * F.percentile_approx(F.abs(c - F.col("median")[i]), 0.5, 1000) for i, c in enumerate(x))).alias("mad"))
+    scales = table(spread.withColumn("floor", F.array(*(F.greatest(F.lit(FLOOR[i]), SHARE * F.col("mad")[i]) for i in range(P)))), "mcd-scales")
+    fit_schema = "key string, start int, centre array<double>, white array<double>, logdet double"
     names = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}_{j}" for i in range(P) for j in range(i + 1))]
-    for _ in range(steps):
-        near = rows.join(side(est), "key").withColumn("bin", _bin(_distance(x, F.col("centre"), F.col("white"))))
-        bins = near.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
-        kept = bins.withColumn("before", F.sum("n").over(running) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where(F.col("before") < support * F.col("all"))
-        est = table(kept.groupBy("key").agg(*(F.sum(c).alias(c) for c in names)).mapInArrow(_fit, fit_schema), "mcd-step")
-    far = rows.join(side(est), "key").withColumn("d2", _distance(x, F.col("centre"), F.col("white"))).drop("centre", "white")
+
+    def sums(v: list[Column]) -> list[Column]:
+        return [F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(v)), *(F.sum(v[i] * v[j]).alias(f"q{i}_{j}") for i in range(P) for j in range(i + 1))]
+
+    def estimates(summed: DataFrame, factor: float, name: str) -> DataFrame:
+        return table(summed.join(side(scales.select("key", "floor")), "key").withColumn("factor", F.lit(factor)).mapInArrow(_fit, fit_schema), name)
+
+    near = [F.col("median")[i] + F.least(F.greatest(c - F.col("median")[i], -2 * F.col("floor")[i]), 2 * F.col("floor")[i]) for i, c in enumerate(x)]
+    plain = estimates(rows.groupBy("key").agg(*sums(x)).withColumn("start", F.lit(1)), 1.0, "mcd-all")
+    clipped = estimates(rows.join(side(scales), "key").groupBy("key").agg(*sums(near)).withColumn("start", F.lit(2)), 1.0, "mcd-clipped")
+    diagonal = scales.select("key", F.lit(0).alias("start"), F.col("median").alias("centre"), F.array(*(1 / F.col("floor")[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P))).alias("white"), F.lit(0.0).alias("logdet"))
+    est = diagonal.unionByName(plain).unionByName(clipped)
+    whole, running, factor = Window.partitionBy("key", "start"), Window.partitionBy("key", "start").orderBy("bin"), consistency(support)
+    for step in range(1, steps + 1):
+        far = rows.join(side(est), "key").withColumn("bin", _bin(_distance(x, F.col("centre"), F.col("white"))))
+        bins = far.groupBy("key", "start", "bin").agg(*sums(x))
+        kept = bins.withColumn("before", F.sum("n").over(running) - F.col("n")).withColumn("all", F.sum("n").over(whole)).where(F.col("before") < support * F.col("all"))
+        new = estimates(kept.groupBy("key", "start").agg(*(F.sum(c).alias(c) for c in names)), factor, "mcd-step")
+        if step == TRIALS:
+            best = new.groupBy("key").agg(F.min(F.struct("logdet", "start"))["start"].alias("start"))
+            new = table(new.join(side(best), ["key", "start"]), "mcd-best")
+        elif step > TRIALS:
+            change = new.join(side(est.select("key", F.col("logdet").alias("was"))), "key").agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+            if change is None or change < settled:
+                est = new
+                break
+        est = new
+    far = judged.join(side(est.drop("start", "logdet")), "key").withColumn("d2", _distance(x, F.col("centre"), F.col("white"))).drop("centre", "white")
     middle = far.groupBy("key").agg(F.percentile_approx("d2", 0.5, 1000).alias("mid"))
     unit = chi2_quantile(0.0)
-    # the floor on the covariance makes distances shrink, never grow: the median is only ever scaled down to its nominal value
+    # floors make distances shrink, never grow: the median is only ever scaled down to its nominal value
     scaled = F.col("d2") * F.least(F.lit(1.0), F.lit(unit) / F.greatest(F.col("mid"), F.lit(1e-9)))
     out = far.join(side(middle), "key").withColumn("distance2", scaled).drop("d2", "mid")
     return out.withColumn("outlier", F.col("distance2") > chi2_quantile(z_cut))
 
 
+def _groups(pairs: DataFrame, least: int) -> DataFrame:
+    """(l, s, key, fits) of (l, s, count): the estimate that judges a pair, and the estimates that its rows belong to, of those that judge any."""
+    own, of_lang, every = F.concat_ws("\x01", F.lit("ls"), "l", "s"), F.concat_ws("\x01", F.lit("l"), "l"), F.lit("all")
+    by_lang = Window.partitionBy("l")
+    key = F.when(F.col("count") >= least, own).when(F.sum("count").over(by_lang) >= least, of_lang).otherwise(every)
+    keyed = pairs.withColumn("key", key)
+    used = keyed.where(F.col("key") == every).limit(1).count() > 0
+    needed = F.max((F.col("key") == of_lang).cast("int")).over(by_lang) == 1
+    fits = F.array(F.when(F.col("key") == own, own), F.when(needed, of_lang), every if used else F.lit(None))
+    return keyed.select("l", "s", "key", F.filter(fits, lambda f: f.isNotNull()).alias("fits"))
+
+
 def quality_rules(docs: DataFrame, **options) -> DataFrame:
     """The registered query's columns: base counts, base_failed, kept, and the distance behind the verdict."""
     out = mcd_outliers(docs, **options)

@@ -674,3 +674,52 @@ def test_classifier_sample_is_bounded(spark, monkeypatch):
     for options in ({}, {"sample_passages": 300}, {"sample_rows": 5}):
         quality_classifier.train(docs, labels, **options)
     assert seen[0][1] > 30 and seen[1][0] <= 500 and seen[2][1] <= 12
+
+
+def mcd(x, support=0.75, steps=6):
+    """The estimate of one group in NumPy: (distances rescaled, log determinant of each start after the trials)."""
+    q, p = quality_rules, quality_rules.P
+    lower = lambda v: np.sort(v, axis=0)[(len(v) - 1) // 2]
+    median = lower(x)
+    floor = np.maximum(q.FLOOR, q.SHARE * 1.4826 * lower(np.abs(x - median)))
+
+    def fit(v, factor):
+        cov = factor * np.cov(v.T, bias=True)
+        return v.mean(axis=0), cov + np.diag(np.maximum(floor**2 - np.diag(cov), 0) + 1e-9)
+
+    def step(mean, cov):
+        d = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1)
+        bins = np.minimum(1023, np.floor(16 * np.log2(1 + d)))
+        before = np.array([(bins < b).sum() for b in bins])
+        return fit(x[before < support * len(x)], q.consistency(support))
+
+    ends = []
+    for e in ((median, np.diag(floor**2)), fit(x, 1), fit(np.clip(x, median - 2 * floor, median + 2 * floor), 1)):
+        for _ in range(q.TRIALS):
+            e = step(*e)
+        ends.append(e)
+    dets = [np.linalg.slogdet(c)[1] for _, c in ends]
+    e = ends[int(np.argmin(dets))]
+    for _ in range(steps - q.TRIALS):
+        e = step(*e)
+    d = ((x - e[0]) @ np.linalg.inv(e[1]) * (x - e[0])).sum(axis=1)
+    return d * min(1, q.chi2_quantile(0.0) / lower(d)), dets
+
+
+def test_mcd_equals_numpy_and_small_sources_use_their_language(spark):
+    rng = random.Random(41)
+    bad = lambda: "### $$$ %%% " * rng.randrange(5, 40)
+    rows = [(i, bad() if i % 5 == 0 else prose(rng, rng.randrange(40, 400)) + " A1" * rng.randrange(6), "en", "tiny" if i < 5 else "big") for i in range(201)]
+    rows += [(300 + i, prose(rng, 50), "de", None) for i in range(4)] + [(400, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in quality_rules.mcd_outliers(docs, steps=6, settled=0.0).collect()}
+    assert len(out) == len(rows) and {r["key"] for r in out.values()} == {"ls\x01en\x01big", "l\x01en", "all"}
+    vector = lambda i: [out[i][c] for c in quality_rules.STATS]
+    for key, members in (("ls\x01en\x01big", range(5, 201)), ("l\x01en", range(201)), ("all", out)):
+        want, _ = mcd(np.array([vector(i) for i in members]))
+        for i, d in zip(members, want):
+            if out[i]["key"] == key:
+                assert math.isclose(out[i]["distance2"], d, rel_tol=0.02, abs_tol=1e-6), (key, i, out[i]["distance2"], d)
+    assert all(out[i]["outlier"] for i in range(5, 201) if i % 5 == 0) and sum(out[i]["outlier"] for i in range(5, 201) if i % 5) <= 8
+    assert quality_rules.mcd_outliers(docs.where("false")).count() == 0
+    assert abs(quality_rules.consistency(0.75) - 1.30) < 0.03 and quality_rules.consistency(1) == 1

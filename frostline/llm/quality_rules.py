@@ -212,7 +212,9 @@ def mcd_outliers(docs: DataFrame, support: float = 0.75, steps: int = 12, z_cut:
                 break
         est = new
     far = judged.join(side(est.drop("start", "logdet")), "key").withColumn("d2", _distance(x, F.col("centre"), F.col("white"))).drop("centre", "white")
-    middle = far.groupBy("key").agg(F.percentile_approx("d2", 0.5, 1000).alias("mid"))
+    # of the rows that made the estimate, not only of those it judges
+    made = rows.join(side(est.drop("start", "logdet")), "key")
+    middle = made.groupBy("key").agg(F.percentile_approx(_distance(x, F.col("centre"), F.col("white")), 0.5, 1000).alias("mid"))
     unit = chi2_quantile(0.0)
     # floors make distances shrink, never grow: the median is only ever scaled down to its nominal value
     scaled = F.col("d2") * F.least(F.lit(1.0), F.lit(unit) / F.greatest(F.col("mid"), F.lit(1e-9)))

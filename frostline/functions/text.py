@@ -53,9 +53,19 @@ def plot_cluster(line: Column) -> Column:
 
 
 def center_line(line: Column) -> Column:
-    """struct(idx, measure, method, cluster) of a center file's line."""
-    part = lambda key, kind: F.regexp_extract(line, f"{key}=(\\S+)", 1).cast(kind)
-    return F.struct(part("PointNumber", "int").alias("idx"), part("Measure", "double").alias("measure"), part("Method", "string").alias("method"), part("Group", "int").alias("cluster"))
+    """struct(idx, measure, count, source, method, cluster, name, length) of a center file's line; a name may have several words."""
+
+    def part(key: str, kind: str, pattern: str = r"(\S+)") -> Column:
+        found = F.regexp_extract(line, f"(?:^|\\s){key}={pattern}", 1)
+        return F.when(found != "", found).cast(kind)
+
+    name = part("Sequence", "string", r"(.*?)(?=\s+Length=|\s*$)")
+    return F.struct(part("PointNumber", "int", r"\s*(\d+)").alias("idx"), part("Measure", "double").alias("measure"), part("Count", "double").alias("count"), part("Source", "string").alias("source"), part("Method", "string").alias("method"), part("Group", "int").alias("cluster"), name.alias("name"), part("Length", "int").alias("length"))
+
+
+def skip_ranks(pattern: str) -> list[int]:
+    """'a,b,c' as sorted distinct numbers."""
+    return sorted({int(x) for x in pattern.split(",") if x.strip()})
 
 
 def join_pattern(pattern: Column) -> Column:

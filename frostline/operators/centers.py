@@ -156,3 +156,13 @@ def center_lines(top: DataFrame, method: str, points: DataFrame) -> DataFrame:
     named = top.join(points.select("idx", "name", "length"), "idx", "left")
     label = F.when(F.col("name").isNotNull(), F.format_string(" Sequence=%s Length=%d", "name", F.col("length"))).otherwise("")
     return named.select("cluster", "rank", F.concat(F.format_string("PointNumber=%-6d Measure=%.6f Method=%s Group=%d", F.col("idx").cast("long"), F.col("measure").cast("double"), F.lit(method), F.col("cluster").cast("long")), label).alias("line"))
+
+
+def center_coordinate_distances(top: DataFrame, points: DataFrame) -> DataFrame:
+    """(cluster, idx, mean_other, to_top) of each center to the others of its cluster by 3-D distance, for the methods that use coordinates."""
+    p = points.select("idx", "x", "y", "z")
+    a = top.select("cluster", "idx").join(p, "idx").select("cluster", F.col("idx").alias("i"), *(F.col(c).alias(c + "a") for c in "xyz"))
+    b = top.select(F.col("cluster").alias("cb"), "idx", "rank").join(p, "idx").select("cb", F.col("idx").alias("j"), F.col("rank").alias("rb"), *(F.col(c).alias(c + "b") for c in "xyz"))
+    d = a.join(b, (F.col("cluster") == F.col("cb")) & (F.col("i") != F.col("j"))).withColumn("d", euclid("a", "b"))
+    first = F.max(F.when(F.col("rb") == 1, F.col("d")))
+    return d.groupBy("cluster", F.col("i").alias("idx")).agg(F.round(F.avg("d"), 9).alias("mean_other"), F.round(F.coalesce(first, F.lit(0.0)), 9).alias("to_top"))

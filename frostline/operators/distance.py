@@ -50,12 +50,16 @@ def from_vectors(vectors: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
 
 
 def read_matrix(spark: SparkSession, path: str, n: int, big_endian: bool = False, repetitions: int = 1) -> DataFrame:
-    """Rows (i, d array<short>) of a binary row-major int16 file with n columns; repetitions tile the columns.
+    """Rows (i, d array<short>) of a binary row-major int16 file, or folder of part files, with n columns; repetitions tile the columns.
 
     Records are cut by Spark, so a file of any size is read in splits.
     """
     kind = np.dtype(">i2" if big_endian else "<i2")
-    records = spark.sparkContext.binaryRecords(path, 2 * n).zipWithIndex().map(lambda r: (r[1], bytes(r[0])))
+    # part files of a folder follow each other by name
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().toString() for x in store.listStatus(there) if not x.getPath().getName().startswith(("_", "."))) if store.getFileStatus(there).isDirectory() else [path]
+    records = spark.sparkContext.union([spark.sparkContext.binaryRecords(x, 2 * n) for x in names]).zipWithIndex().map(lambda r: (r[1], bytes(r[0])))
     raw = spark.createDataFrame(records, "i long, payload binary")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

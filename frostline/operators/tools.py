@@ -122,6 +122,12 @@ def plot_xml(points: DataFrame) -> DataFrame:
     return points.select("idx", el.alias("xml"))
 
 
+def cluster_xml(clusters: DataFrame) -> DataFrame:
+    """(key, xml): one cluster element of a plot file; clusters(key, label, a, r, g, b, size, shape)."""
+    el = F.format_string('<cluster><key>%d</key><label>%s</label><visible>1</visible><default>0</default><color r="%d" g="%d" b="%d" a="%d"/><size>%d</size><shape>%d</shape></cluster>', F.col("key").cast("long"), "label", *(F.col(c).cast("long") for c in ("r", "g", "b", "a", "size", "shape")))
+    return clusters.select("key", el.alias("xml"))
+
+
 def palette_color(cluster: Column, size: int = 50) -> Column:
     return F.pmod(cluster, F.lit(size)).cast("int")
 
@@ -132,6 +138,3 @@ def center_plot_numbers(centers: DataFrame, methods: int, highest: Column) -> Da
     names = centers.select("method").distinct().select("method", m.alias("m"))
     return centers.join(F.broadcast(names), "method").select("cluster", "method", (F.col("cluster") * methods + F.col("m") + highest + 1).alias("number"))
 
-
-def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "idx int, cluster int")

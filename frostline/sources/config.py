@@ -40,6 +40,7 @@ class Files:
     LabelFile: str = "labels.txt"
     TimingFile: str = "timings.txt"
     SummaryFile: str = "summary.txt"
+    CenterOutputFile: str = ""
     NumberDataPoints: int = -1
     AddMds: int = 1
     BucketFractions: str = "0.15,0.4,0.75"
@@ -50,6 +51,23 @@ class Files:
     Repetitions: int = 1
 
 
+#: Fixed names and defaults of the tools' own sections.
+EXTRACTOR = {"clusterFile": "cluster.txt", "distFile": "in.bin", "numPoints": -1, "outDir": "outfile.bin", "isBigEndian": False, "clusters": "None", "newclusters": "1", "runLine": "", "joins": ""}
+COLLATE = {
+    "pointsDir": "/home/", "pointFilePattern": "points.txt", "clustersDir": "/home/", "clusterDirpattern": "{0}", "clusterFilePattern": "clusters.txt", "outDir": "/home/", "outFilePattern": "out.txt", "outPlotFilePattern": "outplot.txt",
+    "outLablesFilePattern": "outlabel.txt", "outsepereateFilesPattern": "sepereated.txt", "numClusters": 0, "join": "", "clusters": "",
+}
+BLOCK_MERGER = {"blockDir": "/home/blockDir", "nameFormat": "{1}-{2}.bin", "blockCount": 1, "outFile": "/home/outfile.bin", "skipRanks": "", "isBigEndian": False}
+
+
+def section(text: str, defaults: dict[str, object], overrides: dict[str, str] | None = None) -> dict[str, object]:
+    """A tool's settings: its defaults, the file's values, and overrides, in growing order of weight; unknown keys are named in a warning."""
+    given = parse(text) | (overrides or {})
+    for key in given.keys() - defaults.keys():
+        warnings.warn(f"unknown key {key}", stacklevel=2)
+    return {k: _as(type(v), given[k]) if k in given else v for k, v in defaults.items()}
+
+
 def parse(text: str) -> dict[str, str]:
     out = {}
     for line in text.splitlines():

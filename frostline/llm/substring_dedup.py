@@ -166,7 +166,7 @@ def _locate(fragments: pa.Table, confirmed: pa.Table) -> pa.Table:
         for i in np.flatnonzero(np.diff(cut)).tolist():
             rows.append(names[i])
             runs.append(_runs(local[cut[i] : cut[i + 1]].astype(np.int32)))
-    return pa.table([pa.array(rows, pa.string()), pa.array(runs, pa.list_(pa.int32()))], names=["row", "runs"])
+    return pa.table([pa.array(rows, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["row", "runs"])
 
 
 def _runs(s: np.ndarray) -> list[int]:
@@ -197,20 +197,20 @@ def substring_dedup(docs: DataFrame, shard_bytes: int = 2 << 20, salt_bytes: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     shards = max(1, -(-(rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0) // shard_bytes))
     base = table(rows.mapInArrow(_sketch, "doc_id long, th long, n_words long, sha string, seed array<long>, at array<int>"), "sub-seeds")
-    # one row a word sequence; 'row' (its hash) stands for it from here on
+    # one number a word sequence: its class, which stands for it from here on
     classes = base.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th")).alias("rep"))
-    classes = table(classes.select("sha", "copies", "rep.doc_id", "rep.th"), "sub-classes")
-    rep = classes.select(F.col("sha").alias("s"), F.col("doc_id").alias("i"), F.col("th").alias("t"))
+    classes = table(classes.select("sha", "copies", "rep.doc_id", "rep.th").withColumn("row", F.monotonically_increasing_id()), "sub-classes")
+    rep = classes.select("row", F.col("sha").alias("s"), F.col("doc_id").alias("i"), F.col("th").alias("t"))
     mine = (F.col("sha") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))
-    one = base.join(rep, mine, "left_semi").groupBy("sha", "doc_id", "th").agg(F.first(F.arrays_zip("seed", "at")).alias("seeds"))
-    each = table(one.select("sha", "doc_id", "th", F.explode("seeds").alias("s")).select("sha", "doc_id", "th", F.col("s.seed").alias("seed"), F.col("s.at").alias("at")), "sub-each")
-    owner = F.min(F.xxhash64("sha"))
+    one = base.join(rep, mine).groupBy("row").agg(F.first(F.arrays_zip("seed", "at")).alias("seeds"))
+    each = table(one.select("row", F.explode("seeds").alias("s")).select("row", F.col("s.seed").alias("seed"), F.col("s.at").alias("at")), "sub-each")
+    owner = F.min(F.xxhash64("row"))
     again = each.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.pmod(owner, F.lit(shards)).cast("int").alias("shard")).where("n > 1").drop("n")
-    found = each.join(table(again, "sub-again"), "seed").groupBy("sha", "doc_id", "th").agg(F.collect_list(F.struct("at", "shard")).alias("seeds"))
+    found = each.join(table(again, "sub-again"), "seed").groupBy("row").agg(F.collect_list(F.struct("at", "shard")).alias("seeds")).join(classes, "row")
     # ids may repeat: the text taken for a class is checked by its hash
-    texts = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["th"] == found["th"])).select(F.col("sha").alias("row"), "text", "seeds")
-    texts = table(texts.mapInArrow(_same, "row string, text string, seeds array<struct<at:int,shard:int>>").join(classes.select(F.col("sha").alias("row"), "copies"), "row"), "sub-texts")
-    fragments = table(texts.mapInArrow(_fragments, "row string, copies long, shard int, at int, words binary, seeds array<int>"), "sub-fragments")
+    texts = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["th"] == found["th"])).select("row", "copies", "sha", "text", "seeds")
+    texts = table(texts.mapInArrow(_same, "row long, copies long, text string, seeds array<struct<at:int,shard:int>>"), "sub-texts")
+    fragments = table(texts.mapInArrow(_fragments, "row long, copies long, shard int, at int, words binary, seeds array<int>"), "sub-fragments")
     confirmed = fragments.select("shard", "words", "seeds").mapInArrow(_windows, "shard int, window long, times long").groupBy("shard", "window").agg(F.sum("times").alias("times"))
     confirmed = table(confirmed.where("times > 1").drop("times"), "sub-windows")
     # documents of classes with copies go as a whole, so only the others are searched
@@ -221,18 +221,18 @@ def substring_dedup(docs: DataFrame, shard_bytes: int = 2 << 20, salt_bytes: int
     load = F.broadcast(load) if shards <= 100_000 else load
     searched = searched.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
     confirmed = confirmed.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    hits = searched.select("shard", "salt", "row", "at", "words").groupBy("shard", "salt").cogroup(confirmed.select("shard", "salt", "window").groupBy("shard", "salt")).applyInArrow(_locate, "row string, runs array<int>")
+    hits = searched.select("shard", "salt", "row", "at", "words").groupBy("shard", "salt").cogroup(confirmed.select("shard", "salt", "window").groupBy("shard", "salt")).applyInArrow(_locate, "row long, runs array<int>")
     runs = hits.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    stripped = texts.where("copies = 1").select("row", "text").join(runs, "row").mapInArrow(_strip, "row string, gone long, kept string")
-    of_class = table(classes.select("sha", "copies").join(stripped.withColumnRenamed("row", "sha"), "sha", "left"), "sub-results")
+    stripped = texts.where("copies = 1").select("row", "text").join(runs, "row").mapInArrow(_strip, "row long, gone long, kept string")
+    of_class = table(classes.select("sha", "copies", "row").join(stripped, "row", "left").drop("row"), "sub-results")
     out = join_classes(base.select("doc_id", "n_words", "sha"), of_class, ["sha"], "copies", base.count())
     whole = F.col("copies") > 1
     return out.select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"), F.when(whole, F.lit(_EMPTY)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
 
 
 def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the word sequence that 'row' names."""
+    """Rows whose text has the word sequence of the class, without its hash."""
     for batch in batches:
         for b in tk.slices(batch):
             w = tk.words(b.column("text"), hashes=False)
-            yield b.filter(pa.array([x == y for x, y in zip(_joined(w), b.column("row").to_pylist())]))
+            yield b.filter(pa.array([x == y for x, y in zip(_joined(w), b.column("sha").to_pylist())])).select(["row", "copies", "text", "seeds"])

@@ -156,7 +156,8 @@ def write_warc(pages: DataFrame, out: str, roll_bytes: int = 8 << 20, shard_byte
 
     columns = "page_id long, url string, payload binary, digest string, refers_to long"
     rows = prepared(pages, least).select(*(c.split()[0] for c in columns.split(", ")), F.pmod(F.xxhash64("digest", "url"), F.lit(1 << 40)).alias("deal")).mapInArrow(dealt, f"shard int, {columns}")
-    ordered = rows.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    # by number, not by hash: two shards never share a task
+    ordered = rows.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
     made = ordered.mapInArrow(lambda x: _write(x, out, roll_bytes), _MANIFEST)
     made.write.json(f"{out}/manifest")
     return spark.read.schema(_MANIFEST).json(f"{out}/manifest")

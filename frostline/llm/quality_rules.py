@@ -2,7 +2,8 @@
 
 Each document becomes a vector of transformed statistics.  Per (language, source) the estimator takes three deterministic starts (medians and MADs; the
 mean and covariance of all rows; those of rows clipped to two MADs) through concentration steps: keep the ``support`` share of rows nearest to the
-centre, take their mean and covariance, repeat.  After ``TRIALS`` steps the start with the least determinant goes on until its determinant settles.
+centre, take their mean and covariance, repeat.  After ``TRIALS`` steps the start with the least determinant goes on until its determinant falls no further:
+a step never raises it but by the rounding to bins, so each group keeps its least one, and only groups that still fall take another step.
 A step is one aggregation by (group, start, distance bin): every bin carries its count, sums and products, so the nearest rows are whole bins
 taken by a running count.  No group is gathered in a task: a hot source only adds to the same few hundred bins.  The subset thus ends at a bin edge (1/16
 octave of distance).
@@ -161,7 +162,7 @@ def mcd_outliers(docs: DataFrame, support: float = 0.75, steps: int = 12, z_cut:
     """doc_id, lang, source, base statistics, STATS, group key, distance2 (rescaled) and outlier of each row of docs(doc_id, text, lang, source).
 
     The number of groups is counted, and the table of estimates broadcast only up to ``broadcast_groups``; beyond, it is an ordinary join.
-    Steps end when no group's log determinant changes by ``settled`` or more, or after ``steps``.
+    A group's steps end when its log determinant falls by less than ``settled``, or after ``steps``.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -197,6 +198,7 @@ def mcd_outliers(docs: DataFrame, support: float = 0.75, steps: int = 12, z_cut:
     diagonal = scales.select("key", F.lit(0).alias("start"), F.col("median").alias("centre"), F.array(*(1 / F.col("floor")[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P))).alias("white"), F.lit(0.0).alias("logdet"))
     est = diagonal.unionByName(plain).unionByName(clipped)
     whole, running, factor = Window.partitionBy("key", "start"), Window.partitionBy("key", "start").orderBy("bin"), consistency(support)
+    finished = None
     for step in range(1, steps + 1):
         far = rows.join(side(est), "key").withColumn("bin", _bin(_distance(x, F.col("centre"), F.col("white"))))
         bins = far.groupBy("key", "start", "bin").agg(*sums(x))
@@ -204,13 +206,19 @@ def mcd_outliers(docs: DataFrame, support: float = 0.75, steps: int = 12, z_cut:
         new = estimates(kept.groupBy("key", "start").agg(*(F.sum(c).alias(c) for c in names)), factor, "mcd-step")
         if step == TRIALS:
             best = new.groupBy("key").agg(F.min(F.struct("logdet", "start"))["start"].alias("start"))
-            new = table(new.join(side(best), ["key", "start"]), "mcd-best")
+            est = table(new.join(side(best), ["key", "start"]), "mcd-best")
         elif step > TRIALS:
-            change = new.join(side(est.select("key", F.col("logdet").alias("was"))), "key").agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
-            if change is None or change < settled:
-                est = new
+            both = new.join(side(est.select("key", F.struct("start", "centre", "white", "logdet").alias("was"))), "key")
+            now, falls = F.struct("start", "centre", "white", "logdet"), F.col("logdet") <= F.col("was.logdet") - settled
+            kept = both.select("key", F.when(F.col("logdet") < F.col("was.logdet"), now).otherwise(F.col("was")).alias("e"), falls.alias("falls"))
+            kept = table(kept.select("key", "e.*", "falls"), "mcd-least")
+            est = kept.where("falls").drop("falls")
+            finished = kept.where("not falls").drop("falls") if finished is None else finished.unionByName(kept.where("not falls").drop("falls"))
+            if est.limit(1).count() == 0:
                 break
-        est = new
+        else:
+            est = new
+    est = est if finished is None else est.unionByName(finished)
     far = judged.join(side(est.drop("start", "logdet")), "key").withColumn("d2", _distance(x, F.col("centre"), F.col("white"))).drop("centre", "white")
     # of the rows that made the estimate, not only of those it judges
     made = rows.join(side(est.drop("start", "logdet")), "key")

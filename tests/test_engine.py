@@ -106,6 +106,22 @@ def test_derivative_products():
         for k in range(2):
             assert np.allclose(got[:, k], literal(d / 32767, s, factor, k, v[:, k]))
     assert np.allclose(anneal.cross_derivative_times(mat, s, v), literal_cross(d / 32767, s, v))
+    for k in range(2):
+        alone = np.where(np.arange(2) == k, v, 0)
+        assert np.allclose(anneal.block_derivative_times(mat, s, v)[:, k], literal_cross(d / 32767, s, alone)[:, k])
+
+
+def test_full_eigenvalues_equal_the_dense_spectrum():
+    d, _ = blocks([6, 7])
+    mat, n, k = Dense(d), 13, 2
+    s = anneal.em_pass(mat, anneal.State(np.random.default_rng(5).random((n, k)), 0.5, first=False), anneal.Options())
+    full = np.column_stack([literal_cross(d / 32767, s, x.reshape(n, k)).ravel() for x in np.eye(n * k)])
+    found = np.linalg.eigvalsh(full)
+    want = found[np.abs(found) > 1e-9]  # moving a point's energies alike changes nothing: n zeros
+    assert len(want) == n * (k - 1)
+    e = anneal.full_eigenvalues(mat, s, anneal.Options(eigenvalue_change=1e-9, eigenvector_change=1e-9, power_limit=3000))
+    assert np.allclose(full, full.T) and abs(e.least[0] - want[0]) < 1e-3 and e.vector.shape == (n, k)
+    assert abs(e.largest[0] - want[-1]) < 1e-3
 
 
 def test_first_split_follows_the_critical_temperature():
@@ -136,6 +152,22 @@ def test_anneal_recovers_planted_groups(options):
     assert len(a.intermediate) == (1 if options.get("converge_intermediate") else 0)
 
 
+@pytest.mark.parametrize("method", [1, 2, 3, 4])
+def test_split_methods(method):
+    d, group = blocks([40, 40, 40])
+    a = anneal.Annealer(Dense(d), anneal.Options(max_clusters=3, split_method=method, jiggle=0.01, jiggle_along=method == 2))
+    labels = a.labels(a.run())
+    assert len(set(zip(group.tolist(), labels.tolist()))) == 3 == len(set(labels.tolist()))
+
+
+def test_split_method_0_never_splits():
+    d, _ = blocks([40, 40])
+    a = anneal.Annealer(Dense(d), anneal.Options(max_clusters=2, split_method=0, iteration_at_end=20))
+    assert a.run().k == 1
+    eps = np.arange(6.0).reshape(3, 2)
+    assert np.isclose(np.sqrt(((anneal.jiggled(eps, 1.0, np.ones((3, 2)) * 7) - eps) ** 2).mean()), eps.std() / 100)
+
+
 def test_too_small_groups_are_removed():
     d, _ = blocks([50, 50, 10])
     a = anneal.Annealer(Dense(d), anneal.Options(max_clusters=3))

@@ -11,7 +11,7 @@ the parameters (a few thousand numbers) go back to all tasks, which encode and s
 
 Defined results: null and empty texts are one all-zero passage and get a score as others; labels that are null are ignored, and of repeated
 labels of one id the largest counts; rows that repeat an id are examples each; without labels of both kinds the score is their share, or 0.5 with none;
-a text of any length is scored by all its passages; an empty table gives no rows; other columns of the input keep their values in ``score``.
+a text of any length is scored by all its passages; an empty table gives no rows; other columns of the input keep their values in ``score``, but for one that has the name of its output, which is replaced.
 """
 
 from __future__ import annotations
@@ -164,19 +164,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3_000, sample_p
     return Model().fit(np.concatenate(bags or [np.zeros((0, FEATURES))]).astype(np.float64), first, np.array([r["quality"] for r in got], float))
 
 
-def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """docs with a column quality_score."""
+def score(docs: DataFrame, model: Model, columns: list[str] | None = None, name: str = "quality_score") -> DataFrame:
+    """``columns`` of docs (all by default) with the score as column ``name``; a column of that name in the input gives way, as with ``withColumn``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.select(*(c for c in (columns or docs.columns) if c.lower() != name.lower())).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tk.slices(batch):
-                kept = b.select(columns) if columns else b
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sent.value.score(b.column("text")))], names=[*kept.schema.names, "quality_score"])
+                kept = b.select(schema.names)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sent.value.score(b.column("text")))], names=[*schema.names, name])
 
-    schema = docs.select(*columns).schema if columns else docs.schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(run, f"{ddl}, quality_score double")
+    return docs.mapInArrow(run, f"{ddl + ', ' if ddl else ''}`{name}` double")
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -43,14 +43,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(there)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, **options: int) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
 
     The files are deleted when the application ends, as the frames that operators return may still read them before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/frostline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     store, there = _hadoop(spark, path)
     store.deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)

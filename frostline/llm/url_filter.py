@@ -97,8 +97,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", bit
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     prefixes = F.transform(F.filter(F.lit(lengths or [0]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes(F.col("host")), lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("host"), p.alias("path")))))
-    passed = F.filter(keys, lambda k: may_hold(bits, F.concat(k["host"], k["path"]), blocks))
-    possible = seen.select("host", "path").distinct().select("host", "path", F.explode(passed).alias("k")).select("host", "path", F.col("k.host").alias("lh"), F.col("k.path").alias("lp"))
+    asked = seen.select("host", "path").distinct().select("host", "path", F.explode(keys).alias("k")).select("host", "path", F.col("k.host").alias("lh"), F.col("k.path").alias("lp"))
+    possible = asked.where(may_hold(bits, F.concat("lh", "lp"), blocks))
     entries = known.select(F.col("host").alias("lh"), F.col("path").alias("lp"), "verdict")
     entries = F.broadcast(entries) if size <= broadcast_rows else entries.hint("shuffle_hash")
     longest = F.struct((F.length("lh") + F.length("lp")).alias("n"), F.length("lh").alias("h"), F.concat("lh", "lp").alias("rule"), "verdict")
@@ -108,7 +108,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", bit
 
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: the fixed rules against every page; nothing listed means allow."""
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    rules = F.inline(F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(("host", "path", "verdict"), r))) for r in RULES)))
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.range(1).select(rules))
 
 
 #: Fixed rules again, as DuckDB's SQL has them.

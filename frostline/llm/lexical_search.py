@@ -155,8 +155,8 @@ class Shard:
         p, step = 0, max(2 * k, 256)
         few = max(4 * k, 64)
         while p < len(group):
-            end = int(np.searchsorted(done, (done[p - 1] if p else 0) + step, "left")) + 1
-            end = min(end, len(group))
+            # as many groups as fit in the step, so the stop is tried before a large group and not behind it
+            end = max(p + 1, int(np.searchsorted(done, (done[p - 1] if p else 0) + step, "right")))
             spans, lengths = self.starts[group[p:end]], size[p:end]
             at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(spans, lengths)
             np.add.at(sums, self.places[at], np.repeat(value[p:end], lengths))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import collocations, lexical_search, url_filter
 from .common import documents
 from .decontaminate import decontamination
 from .language_id import language_id
@@ -70,8 +71,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_url_filter": url_filter.op12_url_filter,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": collocations.SQL,
+    "op12_url_filter": url_filter.SQL,
+    "op13_lexical_search": lexical_search.SQL,
     "op9_substring_dedup": r"""
         WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (

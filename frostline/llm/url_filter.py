@@ -10,8 +10,7 @@ one bit in each word, so a lookup reads one block.  Filter and lookup are column
 entry up to ``filter_bytes``; a longer list makes it denser, hence passes more, but results stay exact and what tasks are sent stays bounded.
 
 Distinct (host, path) with a key that the filter passes are hash-joined with the list, whose side is broadcast only up to ``broadcast_rows``; that drops false
-positives.  Their verdicts then join the pages, where hot URLs are one row on one side, so Spark splits the other.  Without a listed key, no row is shuffled for
-its verdict in the first join.
+positives.  Their verdicts then join the pages, where a hot URL is one row on one side, so Spark can split the other.
 
 Defined results: null URLs and those without ``://`` have empty host and path; an empty host is its own only suffix; null entries of the list are
 ignored and of repeated entries ``block`` wins over ``allow``; entries of equal length are told apart by the longer host; repeated, null and

@@ -1,6 +1,6 @@
 """Phrase collocation mining with depth-limited count tries.
 
-A task counts the phrases of its texts, shard after shard of ``trie_bytes``, in a trie of limited depth: a node is a phrase, its depth the number of words, its parent the
+A task counts the phrases of its texts, shard after shard of ``trie_words``, in a trie of limited depth: a node is a phrase, its depth the number of words, its parent the
 phrase without the last word, its suffix link the phrase without the first.  The trie deepens by one level in each pass over the texts, and only below
 nodes that can matter: a phrase of ``least`` occurrences has parts of as many, so a node is grown where its parent and its suffix are frequent in the whole
 corpus.  Tasks know that from a bit array of fixed size (``filter_bits``) over the frequent nodes of the level above; what it lets through wrongly is counted and dropped.
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import textkernel as tk
 from .common import documents, table, tune
 
-#: Text bytes counted in one trie.
-TRIE_BYTES = 12 << 20
+#: Words counted in one trie, or those of one longer slice of text.
+TRIE_WORDS = 1_500_000
 #: Bits that tell tasks which nodes are frequent: 16 MB, whatever the corpus.
 FILTER_BITS = 1 << 27
 SALTS = 32
@@ -89,35 +89,41 @@ def grown(h: np.ndarray, fresh: np.ndarray, lang: str, bits: list[np.ndarray]) -
     return at, number, path
 
 
-def _count(shard: pa.Table, bits: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _count(held: dict[str, list[tuple]], bits: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
     """The newest level of a shard's tries, one sorted run a language; of single words also their bytes."""
-    for lang in shard.column("lang").unique().to_pylist():
-        w, fresh = pieces(shard.filter(pa.compute.equal(shard.column("lang"), lang)).column("text").combine_chunks())
-        if not len(w.h):
-            continue
-        at, number, path = grown(w.h.view(np.int64), fresh, lang, bits)
+    for lang, parts in held.items():
+        h, fresh = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+        _, number, path = grown(h, fresh, lang, bits)
         f = np.bincount(number, minlength=len(path[0]))
         columns = [pa.array([lang] * len(f), pa.string()), *map(pa.array, path), pa.array(f.astype(np.int64))]
         if not bits:
-            some = np.zeros(len(f), np.int64)
-            some[number] = at
-            columns.append(pa.array([bytes(w.data[i:j]) for i, j in zip(w.start[some], w.end[some])], pa.binary()))
+            _, some = np.unique(np.concatenate([x[2] for x in parts]), return_index=True)
+            columns.append(pa.concat_arrays([x[3] for x in parts]).take(pa.array(some)))
         run = pa.RecordBatch.from_arrays(columns, names=names)
         yield from (run.slice(i, 100_000) for i in range(0, len(f), 100_000))
 
 
 def _shards(batches: Iterator[pa.RecordBatch], bits: list[np.ndarray], names: list[str], limit: int) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+    """Texts are hashed slice by slice, so a shard holds its words' hashes and not its texts."""
+    held, size = {}, 0
     for batch in batches:
         for b in tk.slices(batch):
-            more = int(tk.buffers(b.column("text"))[1][-1])
-            if held and size + more > limit:
-                yield from _count(pa.Table.from_batches(held), bits, names)
-                held, size = [], 0
-            held.append(b)
-            size += more
+            for lang in b.column("lang").unique().to_pylist():
+                w, fresh = pieces(b.column("text").filter(pa.compute.equal(b.column("lang"), lang)))
+                h = w.h.view(np.int64)
+                if not len(h):
+                    continue
+                if size and size + len(h) > limit:
+                    yield from _count(held, bits, names)
+                    held, size = {}, 0
+                part = [h, fresh]
+                if not bits:
+                    distinct, at = np.unique(h, return_index=True)
+                    part += [distinct, pa.array([bytes(w.data[i:j]) for i, j in zip(w.start[at], w.end[at])], pa.binary())]
+                held.setdefault(lang, []).append(tuple(part))
+                size += len(h)
     if held:
-        yield from _count(pa.Table.from_batches(held), bits, names)
+        yield from _count(held, bits, names)
 
 
 def _changes(lang: pa.Array, path: list[np.ndarray]) -> np.ndarray:
@@ -197,7 +203,7 @@ def _walk(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([*b.columns, *lefts], names=[*b.schema.names, *(f"left{d}" for d in range(1, len(words)))])
 
 
-def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, inside_percent: int = 50, top: int = 2000, trie_bytes: int = TRIE_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
+def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, inside_percent: int = 50, top: int = 2000, trie_words: int = TRIE_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of docs(lang, text): the ``top`` phrases of 2 to ``max_words`` words of each language."""
     spark = docs.sparkSession
     tune(spark)
@@ -205,7 +211,7 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, inside_pe
     w = [f"w{d}" for d in range(1, max_words + 1)]
     longs = lambda names: ", ".join(f"{c} long" for c in names)
 
-    counted = texts.mapInArrow(lambda x: _shards(x, [], ["lang", "w1", "f", "word"], trie_bytes), "lang string, w1 long, f long, word binary")
+    counted = texts.mapInArrow(lambda x: _shards(x, [], ["lang", "w1", "f", "word"], trie_words), "lang string, w1 long, f long, word binary")
     words = table(counted.groupBy("lang", "w1", "word").agg(F.sum("f").alias("f")), "co-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= least)
@@ -215,7 +221,7 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, inside_pe
     for depth in range(2, max_words + 1):
         bits.append(frequent_bits(levels[-1], w[: depth - 1], filter_bits))
         sent, path = spark.sparkContext.broadcast(bits), w[:depth]
-        runs = texts.mapInArrow(lambda x, sent=sent, path=path: _shards(x, sent.value, ["lang", *path, "f"], trie_bytes), f"lang string, {longs(path)}, f long")
+        runs = texts.mapInArrow(lambda x, sent=sent, path=path: _shards(x, sent.value, ["lang", *path, "f"], trie_words), f"lang string, {longs(path)}, f long")
         runs = table(runs, f"co-runs-{depth}")
         ranged = runs.repartitionByRange("lang", *path).sortWithinPartitions("lang", *path)
         levels.append(table(ranged.mapInArrow(lambda x, path=path: _merge(x, path, least), f"lang string, {longs(path)}, f long"), f"co-level-{depth}"))

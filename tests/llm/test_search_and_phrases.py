@@ -46,13 +46,13 @@ def mined(rows, least, top, longest):
     return sorted((lang, i, p.decode(), -a, l, r, n[lang], -s) for lang, x in out.items() for i, (s, a, p, l, r) in enumerate(sorted(x)[:top], 1))
 
 
-@pytest.mark.parametrize("trie_bytes, filter_bits, longest", [(1 << 24, 1 << 20, 3), (2_000, 1 << 20, 3), (2_000, 64, 4)])
-def test_collocations(spark, trie_bytes, filter_bits, longest):
+@pytest.mark.parametrize("trie_words, filter_bits, longest", [(1 << 22, 1 << 20, 3), (500, 1 << 20, 3), (500, 64, 4)])
+def test_collocations(spark, trie_words, filter_bits, longest):
     rng = random.Random(5)
     rows = [(i, prose(rng, rng.randrange(1, 300)), rng.choice(["en", "de", "en", None])) for i in range(60)]
     rows += [(100, None, "en"), (101, "", "de"), (102, " \t ", None), (103, prose(rng, 20_000, 4_000), "en"), (None, "The Cat sat.", "fr"), *[(104, "the cat sat on the mat, the cat sat", "fr")] * 12]
     rows += [(105, "Ünï çödé　x " * 15, ""), (106, "\x00a \x01b " * 20, "en")]
-    got = collocations.collocations(documents(spark, rows), max_words=longest, top=40, trie_bytes=trie_bytes, filter_bits=filter_bits)
+    got = collocations.collocations(documents(spark, rows), max_words=longest, top=40, trie_words=trie_words, filter_bits=filter_bits)
     assert got.columns == "lang rank phrase a l r n score".split()
     assert sorted(map(tuple, got.collect())) == mined(rows, 10, 40, longest)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import annealing, centers, pairs, reductions, text, tools  # noqa: F401  (they register themselves)
+from .plans import annealing, centers, pairs, reductions, tables, text, tools  # noqa: F401  (they register themselves)
 from .plans.registry import ORACLE_SQL, QUERIES
 
 

@@ -12,7 +12,7 @@ import platform
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import anneal, centers
+from .operators import anneal, anneal_tables, blocks, centers
 from .operators.distance import read_matrix, to_long
 from .sources import config, files, textfiles
 
@@ -25,25 +25,24 @@ def options(arguments: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("-n", dest="nodes", type=int, required=True)
     p.add_argument("-t", dest="threads", type=int, required=True)
     p.add_argument("-D", dest="overrides", action="append", default=[], metavar="KEY=VALUE")
+    p.add_argument("-s", dest="state", help="folder that keeps the state of a run, to go on after a stop")
     return p.parse_args(arguments)
 
 
-def cluster(spark: SparkSession, text: str, overrides: dict[str, str], threads: int = 1, nodes: int = 1) -> anneal.Annealer:
+def cluster(spark: SparkSession, text: str, overrides: dict[str, str], threads: int = 1, nodes: int = 1, state: str | None = None) -> anneal_tables.TableAnnealer:
+    """Labels, a timing line and a summary of an anneal; with ``state`` a folder keeps the run, and one that was stopped goes on from there."""
     o, f = config.load(text, overrides)
     n = f.NumberDataPoints
-    matrix = anneal.Matrix(read_matrix(spark, f.DistanceMatrixFile, n, f.IsBigEndian, f.Repetitions), n)
-    a = anneal.Annealer(matrix, o)
-    a.log.append(f"{n} points, first temperature {a.initial:.6f}")
-    s = a.run()
-    labels = a.labels(s)
+    labels, a = anneal_tables.anneal(blocks.from_rows(read_matrix(spark, f.DistanceMatrixFile, n, f.IsBigEndian, f.Repetitions)), o, folder=state)
+    s, t = a.state, a.matrix.timers
+    log = [f"{n} points, first temperature {a.initial:.6f}", *a.log]
     stem, _, extension = f.ClusterFile.rpartition(".")
     name = textfiles.cluster_file_name(stem or extension, o.max_clusters, s.k, f".{extension}" if stem else "")
-    textfiles.write_assignment(spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "idx int, cluster int"), name)
-    t = matrix.timers
+    textfiles.write_assignment(labels, name)
     ms = {k: v * 1000 for k, v in t.seconds.items()}
     record = textfiles.timing_record(t.total * 1e3, t.total * 1e6, threads, 1, nodes, -(-n // max(1, threads * nodes)), n, o.max_clusters, ms["splitting"], ms["reduce"], ms["exchange"], ms["exchange_eigen"], ms["broadcast"], f.DistanceMatrixFile, datetime.datetime.now().isoformat(" ", "seconds"), platform.node())
     textfiles.write_timing(spark, record, f.TimingFile)
-    textfiles.write_summary(spark, [*a.log, *anneal.diagnostics(s), *t.lines()], f.SummaryFile)
+    textfiles.write_summary(spark, [*log, *anneal.diagnostics(s), *t.lines()], f.SummaryFile)
     return a
 
 
@@ -80,7 +79,7 @@ def main(arguments: list[str] | None = None) -> None:
     text = "\n".join(r["value"] for r in files.numbered_lines(spark, given.conf).orderBy("pos").collect())
     overrides = dict(x.split("=", 1) for x in given.overrides)
     if given.command == "cluster":
-        cluster(spark, text, overrides, given.threads, given.nodes)
+        cluster(spark, text, overrides, given.threads, given.nodes, given.state)
     else:
         find_centers(spark, text, overrides).count()
 

@@ -8,45 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import blocks
+
 #: A stored cell times this is a distance in [-1, 1].
 UNIT = 1.0 / 32767.0
-#: Vectors sent to all tasks at once; more are sent chunk after chunk.
-CHUNK_BYTES = 64 << 20
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def from_vectors(vectors: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(i, j, d) for unit vectors (idx, vector): d = (1 - cosine) / 2 as int16.
-
-    The result is quadratic by definition.  Vectors are read in ranges of ``chunk_bytes`` at most, each sent to all tasks as a
-    bounded broadcast; rows are partitioned, so a task multiplies one batch with one chunk at a time.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("idx").cast("int").alias("i"), "vector").repartition(max(1, spark.sparkContext.defaultParallelism))
-    width = vectors.select(F.max(F.size("vector"))).first()[0] or 1
-    step = max(1, chunk_bytes // (8 * width))
-    last = vectors.select(F.max("idx")).first()[0]
-    out = None
-    for start in range(0, (last or 0) + 1, step):
-        part = vectors.where((F.col("idx") >= start) & (F.col("idx") < start + step)).orderBy("idx").toArrow()
-        sent = spark.sparkContext.broadcast((part.column("idx").to_numpy().astype(np.int32), _matrix(part.column("vector").combine_chunks())))
-
-        def times(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            js, right = sent.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, max(1, (1 << 20) // max(1, len(js)))):
-                    b = batch.slice(at, max(1, (1 << 20) // max(1, len(js))))
-                    d = np.rint(32767 * (1 - _matrix(b.column("vector")) @ right.T) / 2).astype(np.int16)
-                    i = np.repeat(b.column("i").to_numpy(), len(js))
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.tile(js, b.num_rows)), pa.array(d.ravel())], names=["i", "j", "d"])
-
-        made = rows.mapInArrow(times, "i int, j int, d short")
-        out = made if out is None else out.union(made)
-    return out if out is not None else spark.createDataFrame([], "i int, j int, d short")
+def from_vectors(vectors: DataFrame, side: int | None = None) -> DataFrame:
+    """(i, j, d) for unit vectors (idx, vector) of any ids: d = (1 - cosine) / 2 as int16, made by blocks of ``side`` rows and columns."""
+    return blocks.distance_cells(vectors, side)
 
 
 def read_matrix(spark: SparkSession, path: str, n: int, big_endian: bool = False, repetitions: int = 1) -> DataFrame:

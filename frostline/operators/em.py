@@ -6,6 +6,8 @@ behind a count of rows and joined by shuffling beyond ``BROADCAST_ROWS``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 BROADCAST_ROWS = 5_000_000
@@ -92,3 +94,25 @@ def correlation(b: DataFrame, m: DataFrame) -> DataFrame:
     left = m.select("idx", "k", "m")
     right = b.select("idx", F.col("k").alias("l"), "b")
     return left.join(right, "idx").groupBy("l", "k").agg((F.sum(F.col("m") * F.col("b")) / F.sum("m")).alias("corr"))
+
+
+def fixed_point(eps: DataFrame, t: float, clusters: int, rounds: int = 40, tolerance: float = 0.001) -> Iterator[tuple[int, DataFrame, bool]]:
+    """(round, weights(k, p), settled) of the continuous mode: shares follow the weights and weights the shares' means.
+
+    A round is one aggregation; K sums come to the driver and go out as the next weights.  Rounds end when shares move less than ``tolerance`` of their sum.
+    """
+    spark = eps.sparkSession
+    weights = lambda p: spark.createDataFrame([(k, float(x)) for k, x in enumerate(p)], "k int, p double")
+    now, before = weights([1 / clusters] * clusters), None
+    n = eps.select("idx").distinct().count()
+    for it in range(1, rounds + 1):
+        m = softmax(eps, t, now)
+        if before is not None:
+            m = m.join(softmax(eps, t, before).withColumnRenamed("m", "was"), ["idx", "k"])
+        moved = F.sum(F.abs(F.col("m") - F.col("was"))) if before is not None else F.lit(None).cast("double")
+        got = {r["k"]: r for r in m.groupBy("k").agg(F.sum("m").alias("c"), moved.alias("moved")).collect()}
+        before, now = now, weights([got[k]["c"] / n if k in got else 0.0 for k in range(clusters)])
+        settled = it > 1 and sum(r["moved"] for r in got.values()) < tolerance * sum(r["c"] for r in got.values())
+        yield it, now, settled
+        if settled:
+            return

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import distance, em, partition, spectrum
+from ..operators import blocks, distance, em, partition, spectrum
 from . import inputs
 from .inputs import D
 from .registry import query
@@ -81,7 +81,7 @@ def _(spark, sf):
 
 @query("q09_row_blocks", D + "SELECT i, count(*) AS cells, CAST(sum(d * (j % 7)) AS BIGINT) AS weighted FROM d GROUP BY i")
 def _(spark, sf):
-    back = distance.to_long(distance.to_rows(inputs.cells(spark, sf)))
+    back = distance.to_long(blocks.to_rows(blocks.distance_blocks(inputs.vectors(spark, sf))))
     return back.groupBy("i").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("d").cast("long") * (F.col("j") % 7)).alias("weighted"))
 
 

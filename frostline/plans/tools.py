@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import tools as t
+from ..operators import blocks as b, tools as t
 from . import inputs
 from .inputs import D, POINTS
 from .registry import query
@@ -68,10 +68,9 @@ def _(spark, sf):
 
 @query("q78_block_merge", D + " SELECT i, j, d FROM d WHERE i // 100 <> 2 AND j // 100 <> 2")
 def _(spark, sf):
-    cells = inputs.cells(spark, sf)
-    size = F.lit(100)
-    blocks = cells.select((F.col("i") / size).cast("int").alias("bi"), (F.col("j") / size).cast("int").alias("bj"), (F.col("i") % size).alias("r"), (F.col("j") % size).alias("c"), F.col("d").cast("int").alias("d"))
-    return t.merge_blocks(blocks.where("bi <= bj"), 100, [2])
+    """Half of the blocks are given, the others are their mirrors; block row and column 2 are skipped."""
+    half = b.distance_blocks(inputs.vectors(spark, sf), side=100).where("gi <= gj")
+    return b.to_cells(b.merge(half, [2])).select("i", "j", F.col("d").cast("int").alias("d"))
 
 
 @query("q79_zip_by_position", P + " SELECT x.idx, y.cluster, x.idx - y.k AS gap FROM (SELECT idx, row_number() OVER (ORDER BY idx) AS rn FROM p) x JOIN (SELECT cluster, idx AS k, row_number() OVER (ORDER BY idx) AS rn FROM p) y USING (rn)")

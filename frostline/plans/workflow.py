@@ -4,28 +4,25 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ..operators import anneal, distance, tools
+from ..operators import anneal, anneal_tables, blocks, tools
 
 
 def cluster(cells: DataFrame, n: int, options: anneal.Options, initial: float | None = None) -> DataFrame:
     """(idx, cluster) of an anneal over (i, j, d)."""
-    a = anneal.Annealer(anneal.Matrix(distance.to_rows(cells), n), options, initial)
-    labels = a.labels(a.run())
-    return cells.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "idx int, cluster int")
+    return anneal_tables.anneal(blocks.from_cells(cells), options, initial)[0]
 
 
 def recluster(cells: DataFrame, assign: DataFrame, joins: dict[int, int], plan: dict[int, int], options: anneal.Options) -> DataFrame:
-    """Join clusters, cluster each planned one again into plan[c] parts, and number all parts consecutively."""
+    """Join clusters, cluster each planned one again into plan[c] parts, and number all parts consecutively.
+
+    The planned clusters' matrices are blocks of one table, and all are annealed together: a pass over all of them is one job.
+    """
     joined = tools.join_clusters(assign, joins).persist()
-    sizes = {r["cluster"]: r["count"] for r in joined.groupBy("cluster").count().collect() if r["cluster"] in plan}
-    subs = None
-    for c, n in sorted(sizes.items()):
-        own = tools.extract(cells, joined, [c]).select("i", "j", "d")
-        part = cluster(own, n, replace(options, max_clusters=plan[c]))
-        rows = part.selectExpr(f"{c} AS cluster", "CAST(idx AS BIGINT) AS pos", "cluster AS sub")
-        subs = rows if subs is None else subs.unionByName(rows)
-    if subs is None:
+    planned = [r["cluster"] for r in joined.where(F.col("cluster").isin(list(plan))).select("cluster").distinct().collect()]
+    if not planned:
         return joined
-    return tools.collate(joined, subs)
+    own = tools.extract(cells, joined, planned).withColumnRenamed("cluster", "part")
+    labels, _ = anneal_tables.anneal_parts(blocks.from_cells(own), {c: replace(options, max_clusters=plan[c]) for c in planned})
+    return tools.collate(joined, labels.select(F.col("part").alias("cluster"), F.col("idx").cast("long").alias("pos"), F.col("cluster").alias("sub")))

@@ -87,7 +87,9 @@ def read_blocks(spark: SparkSession, path: str, size: int, name: str = r"(\d+)_(
     import pyarrow as pa
 
     kind = ">i2" if big_endian else "<i2"
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", name, 1).cast("int").alias("bi"), F.regexp_extract("path", name, 2).cast("int").alias("bj"), "content")
+    file = F.element_at(F.split("path", "/"), -1)
+    at = lambda k: F.regexp_extract(file, f"^(?:{name})", k).cast("int")  # noqa: E731  the name's start, not some folder above it
+    files = spark.read.format("binaryFile").load(path).where(file.rlike(f"^(?:{name})")).select(at(1).alias("bi"), at(2).alias("bj"), "content")
 
     def decode(batches):
         for b in batches:

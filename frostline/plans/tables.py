@@ -51,15 +51,15 @@ def _own(s: str, m: str) -> tuple[str, str]:
     )
 
 
-def _lanczos_sql(s: str, right: str, operator: str, by: str, start: str = "1") -> str:
-    """Two steps: v1 is what O v0 adds to v0, v2 what O v1 adds to both; ``by`` names the columns of one vector."""
+def _lanczos_sql(s: str, right: str, operator: str, by: str, start: str = "1", weights: str = "") -> str:
+    """Two steps: v1 is what O v0 adds to v0, v2 what O v1 adds to both; ``by`` names the columns of one vector, ``weights`` has b of each right-hand side."""
     part = f"PARTITION BY {by}" if by else ""
     group = f"GROUP BY {by}" if by else ""
     names = f"{by}, " if by else ""
     out = f""", v0 AS (SELECT s.idx, s.k, y / sqrt(sum(y * y) OVER ({part})) AS v FROM (SELECT idx, k, (1 + 0.5e0 * idx / n) * {start} AS y FROM {s} CROSS JOIN n) s)"""
     for j in (0, 1):
         out += f""", r{j} AS ({right.format(j=j)}), u{j} AS (SELECT d.i AS idx, r.k, sum(d.d / 32767e0 * r.r) AS u FROM d JOIN r{j} r ON r.idx = d.j GROUP BY d.i, r.k),
-t{j} AS (SELECT r.k, sum(r.r) AS s1, sum(r.r * s.b) AS s2 FROM r{j} r JOIN {s} s USING (idx, k) GROUP BY r.k), w{j} AS ({operator.format(j=j)})"""
+t{j} AS (SELECT r.k, sum(r.r) AS s1, sum(r.r * s.b) AS s2 FROM r{j} r JOIN {weights or s} s USING (idx, k) GROUP BY r.k), w{j} AS ({operator.format(j=j)})"""
         held = "".join(f", h{j}{i} AS (SELECT {names}sum(w.w * v.v) AS h FROM (SELECT idx, k, w FROM w{j}) w JOIN v{i} v USING (idx, k) {group.replace(by, 'w.' + by) if by else ''})" for i in range(j + 1))
         held = held.replace("SELECT k, sum", "SELECT w.k, sum")
         left = " - ".join(["w.w", *(f"h{i}.h * v{i}.v" for i in range(j + 1))])
@@ -99,6 +99,21 @@ def _(spark, sf):
     return _vectors(matrix, s, at.OwnVector(lambda x: (x["m"][:, own], (x["y"] / s.c)[:, own]), s.c[own], s.a[own], T, 1.0))
 
 
+#: Right-hand sides of each cluster's own block: k = 3 * cluster + c, with b of c.
+BLOCK = ", s9 AS (SELECT s.idx, 3 * o.k + s.k AS k, o.k AS own, s.k AS c, o.m AS mo, s.m - CASE WHEN o.k = s.k THEN 1 ELSE 0 END AS l, s.b, s.a, s.c AS size FROM s JOIN s o ON o.idx = s.idx)"
+BLOCK_RIGHT = "SELECT s.idx, s.k, s.mo * v.v * s.l AS r FROM s9 s JOIN v{j} v ON v.idx = s.idx AND v.k = s.own"
+BLOCK_OPERATOR = """SELECT s.idx, s.own AS k, any_value(s.mo) / 0.02e0 * sum(s.l * (-(2 * s.a + s.b) * t.s1 - t.s2 + u.u) / s.size) + any_value((s.mo - s.mo * s.mo) * v.v) AS w
+FROM s9 s JOIN v{j} v ON v.idx = s.idx AND v.k = s.own JOIN u{j} u ON u.idx = s.idx AND u.k = s.k JOIN t{j} t ON t.k = s.k GROUP BY s.idx, s.own"""
+
+
+@query("q33_lanczos_own_block", PASS + BLOCK + _lanczos_sql("s", BLOCK_RIGHT, BLOCK_OPERATOR, "k", weights="s9"))
+def _(spark, sf):
+    """Split method 1: each cluster's own block of the full operator."""
+    matrix = _matrix(spark, sf)
+    s = at.drive(matrix, {0: _state(matrix)})[0]
+    return _vectors(matrix, s, at.OwnBlock(s, list(range(K))))
+
+
 FULL_RIGHT = "SELECT idx, k, sum(mv) OVER (PARTITION BY idx) * m - mv AS r FROM (SELECT s.idx, s.k, s.m, s.m * v.v AS mv FROM s JOIN v{j} v USING (idx, k))"
 FULL_OPERATOR = """SELECT idx, k, m / 0.02e0 * (sum(m * q) OVER (PARTITION BY idx) - q) + m * (v - sum(m * v) OVER (PARTITION BY idx)) AS w
 FROM (SELECT s.idx, s.k, s.m, v.v, (-(2 * s.a + s.b) * t.s1 - t.s2 + u.u) / s.c AS q FROM s JOIN v{j} v USING (idx, k) JOIN u{j} u USING (idx, k) JOIN t{j} t ON t.k = s.k)"""

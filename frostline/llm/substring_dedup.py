@@ -5,14 +5,15 @@ A window is ``WINDOW`` consecutive words of one document; each word covered by a
 1. Documents with the same word sequence are one class, worked on once.  If a class has two rows or more, all its windows recur.
 2. Seeds: the phrases of ``SEED`` words with the least hash of some window (minimizers).  Equal windows hold equal seeds, so
    a window can only recur if its least seed does.  Counting seeds (a tenth of the words) prunes all other text.
-3. Confirm: a recurring seed belongs to the shard of the smallest class that has it, so copies of one text meet in one shard.  The words around the
-   seeds of a shard (their 64-bit hashes) are a fragment of the document; a document is never copied whole.  The windows of fragments are
-   counted, folded in each task first; those met twice are the recurring passages.
+3. Confirm: a recurring seed belongs to the shard of the smallest class that has it and of the stretch of ``STRETCH`` words where that class has it, so copies of one
+   stretch meet in one shard and a long text is spread over many.  The words around the seeds of a shard (their 64-bit hashes) are a fragment of the document, cut into
+   pieces of at most ``STRETCH`` window starts; a document is never copied whole.  The windows of pieces are counted, folded in each task first; those met twice are
+   the recurring passages.
 4. Compile and locate: a shard's passages, 35 symbols each, are compiled to Aho-Corasick automata of at most ``PATTERNS`` passages, and every fragment of the
    shard is streamed through them.  The automaton's hits, each checked by its 64-bit hash, are the starts of recurring windows, and nothing else is.
 
-A shard with many fragments is split into salts by bytes, each with its own copy of the confirmed hashes; no step gathers the documents of a passage in one task,
-and no group is paired with itself.  Classes with many copies are joined by broadcasting them (there are few, see ``join_classes``).
+A shard with many pieces is split into salts by bytes, pieces of one document too, each salt with its own copy of the confirmed hashes; a task's automata and text are thus
+bounded, and the work is linear in the words around recurring seeds.  No step gathers the documents of a passage in one task, and no group is paired with itself.  Classes with many copies are joined by broadcasting them (there are few, see ``join_classes``).
 
 Defined results: null text has no words (0, 0, hash of ''); repeated rows and repeated or null ids count as the rows they are; ties of hashes are equal
 windows; a text of any length is one document; an empty table gives no rows; other columns are ignored.
@@ -35,6 +36,8 @@ WINDOW, SEED = 35, 12
 _PER = WINDOW - SEED + 1
 #: Passages in one automaton (35 nodes each, about 60 MB).
 PATTERNS = 20_000
+#: Words of the owning class whose seeds share a shard, and most window starts of a piece; neighbours overlap by a window.
+STRETCH = 8_192
 _GAP = 0xFFFF
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _TOP = tk.U(0xFFFFFFFFFFFFFFFF)
@@ -74,8 +77,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(np.diff(w.first)), pa.array(_joined(w)), _lists(h.view(np.int64), cut, pa.int64()), _lists(local.astype(np.int32), cut, pa.int32())], names=["doc_id", "th", "n_words", "sha", "seed", "at"])
 
 
-def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document and shard, the word hashes of all windows that hold a recurring seed of the shard, in merged ranges."""
+def _fragments(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.RecordBatch]:
+    """For each document and shard, the word hashes of all windows that hold a recurring seed of the shard, in merged ranges cut into pieces."""
     for batch in batches:
         for b in tk.slices(batch):
             w = tk.words(b.column("text"))
@@ -90,10 +93,22 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (doc[1:] != doc[:-1]) | (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1])
             begin = np.flatnonzero(new)
             end = np.append(begin[1:], len(at)) - 1 if len(begin) else begin
-            words = [w.h[x:y].tobytes() for x, y in zip(lo[begin].tolist(), hi[end].tolist())]
-            inside = at - np.repeat(lo[begin], np.diff(np.append(begin, len(at))))
+            # pieces: window starts [left, left + stretch) of the fragment, with the words of their windows
+            pieces = np.maximum(1, -(-(hi[end] - lo[begin] - WINDOW + 1) // stretch))
+            of = np.repeat(np.arange(len(begin)), pieces)
+            left = lo[begin][of] + (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * stretch
+            right = np.minimum(left + stretch + WINDOW - 1, hi[end][of])
+            words = [w.h[x:y].tobytes() for x, y in zip(left.tolist(), right.tolist())]
+            # seeds ascend inside a fragment; those of a piece are a range of them, and a seed near a cut is in both pieces
+            base = np.cumsum(hi[end] - lo[begin] + 1) - (hi[end] - lo[begin] + 1)  # fragments laid behind each other, so one search serves all
+            flow = at - np.repeat(lo[begin] - base, np.diff(np.append(begin, len(at))))
+            a = np.searchsorted(flow, left - lo[begin][of] + base[of])
+            z = np.searchsorted(flow, right - SEED - lo[begin][of] + base[of], "right")
+            take = np.repeat(a - (np.cumsum(z - a) - (z - a)), z - a) + np.arange(int((z - a).sum()))
+            inside = at[take] - np.repeat(left, z - a)
+            source = pa.array(doc[begin][of])
             yield pa.RecordBatch.from_arrays(
-                [b.column("row").take(pa.array(doc[begin])), b.column("copies").take(pa.array(doc[begin])), pa.array(shard[begin].astype(np.int32)), pa.array((lo[begin] - w.first[doc[begin]]).astype(np.int32)), pa.array(words, pa.binary()), _lists(inside.astype(np.int32), np.append(begin, len(at)), pa.int32())],
+                [b.column("row").take(source), b.column("copies").take(source), pa.array(shard[begin][of].astype(np.int32)), pa.array((left - w.first[doc[begin][of]]).astype(np.int32)), pa.array(words, pa.binary()), _lists(inside.astype(np.int32), np.concatenate([[0], np.cumsum(z - a)]), pa.int32())],
                 names=["row", "copies", "shard", "at", "words", "seeds"],
             )
 
@@ -190,7 +205,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(w.sums(gone)), pa.array(_joined(w, ~gone))], names=["row", "gone", "kept"])
 
 
-def substring_dedup(docs: DataFrame, shard_bytes: int = 2 << 20, salt_bytes: int = 4 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, shard_bytes: int = 2 << 20, salt_bytes: int = 4 << 20, stretch: int = STRETCH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for docs(doc_id, text)."""
     spark = docs.sparkSession
     tune(spark)
@@ -204,13 +219,14 @@ def substring_dedup(docs: DataFrame, shard_bytes: int = 2 << 20, salt_bytes: int
     mine = (F.col("sha") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))
     one = base.join(rep, mine).groupBy("row").agg(F.first(F.arrays_zip("seed", "at")).alias("seeds"))
     each = table(one.select("row", F.explode("seeds").alias("s")).select("row", F.col("s.seed").alias("seed"), F.col("s.at").alias("at")), "sub-each")
-    owner = F.min(F.xxhash64("row"))
-    again = each.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.pmod(owner, F.lit(shards)).cast("int").alias("shard")).where("n > 1").drop("n")
+    owner = F.min(F.struct(F.xxhash64("row").alias("h"), F.floor(F.col("at") / stretch).alias("stretch")))
+    again = each.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), owner.alias("o")).where("n > 1")
+    again = again.select("seed", F.pmod(F.xxhash64("o.h", "o.stretch"), F.lit(shards)).cast("int").alias("shard"))
     found = each.join(table(again, "sub-again"), "seed").groupBy("row").agg(F.collect_list(F.struct("at", "shard")).alias("seeds")).join(classes, "row")
     # ids may repeat: the text taken for a class is checked by its hash
     texts = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["th"] == found["th"])).select("row", "copies", "sha", "text", "seeds")
     texts = table(texts.mapInArrow(_same, "row long, copies long, text string, seeds array<struct<at:int,shard:int>>"), "sub-texts")
-    fragments = table(texts.mapInArrow(_fragments, "row long, copies long, shard int, at int, words binary, seeds array<int>"), "sub-fragments")
+    fragments = table(texts.mapInArrow(lambda batches: _fragments(batches, stretch), "row long, copies long, shard int, at int, words binary, seeds array<int>"), "sub-fragments")
     confirmed = fragments.select("shard", "words", "seeds").mapInArrow(_windows, "shard int, window long, times long").groupBy("shard", "window").agg(F.sum("times").alias("times"))
     confirmed = table(confirmed.where("times > 1").drop("times"), "sub-windows")
     # documents of classes with copies go as a whole, so only the others are searched
@@ -219,7 +235,7 @@ def substring_dedup(docs: DataFrame, shard_bytes: int = 2 << 20, salt_bytes: int
     load = searched.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words")) / F.lit(salt_bytes)).cast("int").alias("salts"))
     load = table(load.withColumn("salts", F.greatest("salts", F.lit(1))), "sub-load")
     load = F.broadcast(load) if shards <= 100_000 else load
-    searched = searched.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
+    searched = searched.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.col("salts")).cast("int"))
     confirmed = confirmed.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     hits = searched.select("shard", "salt", "row", "at", "words").groupBy("shard", "salt").cogroup(confirmed.select("shard", "salt", "window").groupBy("shard", "salt")).applyInArrow(_locate, "row long, runs array<int>")
     runs = hits.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))

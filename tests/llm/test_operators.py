@@ -547,6 +547,21 @@ def test_substring_dedup(spark, texts):
     assert substring_dedup.substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_substring_dedup_cuts_long_passages_into_pieces(spark):
+    rng = random.Random(21)
+    body = prose(rng, 3_000, 9000)
+    turn = prose(rng, 40, 9000) + " "
+    all_texts = ["a " + body + " b", "c d " + body.replace(body.split()[1500], "changed"), prose(rng, 500, 9000), " ".join(body.split()[700:1900]), turn * 60, "x " + turn * 3, "same " * 900]
+    words = [t.split() for t in all_texts]
+    count = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    for stretch in (1, 36, 200):
+        got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(make(spark, all_texts), shard_bytes=5_000, salt_bytes=1_000, stretch=stretch).collect()}
+        for i, w in enumerate(words):
+            gone = {k for j in range(len(w) - 34) if count[tuple(w[j : j + 35])] > 1 for k in range(j, j + 35)}
+            kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+            assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (len(gone), hashlib.sha256(kept.encode()).hexdigest()), (stretch, i)
+
+
 def test_substring_dedup_null_and_repeated_ids(spark):
     rng = random.Random(12)
     a, b = prose(rng, 50, 9000), prose(rng, 50, 9000)

@@ -1,6 +1,7 @@
-"""Runs from the command line: ``python -m frostline.cli cluster|centers -c FILE -n NODES -t THREADS``.
+"""Runs from the command line: ``python -m frostline.cli cluster|centers|extract|collate|merge -c FILE -n NODES -t THREADS``.
 
-``cluster`` anneals the configured matrix and writes labels, a timing line and a summary; ``centers`` finds the representative centers of a cluster file.
+``cluster`` anneals the configured matrix and writes labels, a timing line and a summary; ``centers`` finds the representative centers of a cluster file;
+``extract``, ``collate`` and ``merge`` run the tools of ``plans.filejobs`` on their sections.
 Nodes and threads are only recorded, as the master that Spark was given decides where tasks run.
 """
 
@@ -13,6 +14,7 @@ import platform
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import anneal, anneal_tables, blocks, centers
+from .plans import filejobs
 from .operators.distance import read_matrix, to_long
 from .sources import config, files, textfiles
 
@@ -20,11 +22,12 @@ from .sources import config, files, textfiles
 def options(arguments: list[str] | None = None) -> argparse.Namespace:
     """All of c, n and t are required; ``-D key=value`` overrides a key of the file."""
     p = argparse.ArgumentParser(prog="frostline")
-    p.add_argument("command", choices=["cluster", "centers"])
+    p.add_argument("command", choices=["cluster", "centers", "extract", "collate", "merge"])
     p.add_argument("-c", dest="conf", required=True, help="properties file")
     p.add_argument("-n", dest="nodes", type=int, required=True)
     p.add_argument("-t", dest="threads", type=int, required=True)
     p.add_argument("-D", dest="overrides", action="append", default=[], metavar="KEY=VALUE")
+    p.add_argument("-m", dest="points", help="extract: file of coordinates to cut by cluster")
     p.add_argument("-s", dest="state", help="folder that keeps the state of a run, to go on after a stop")
     return p.parse_args(arguments)
 
@@ -70,6 +73,8 @@ def find_centers(spark: SparkSession, text: str, overrides: dict[str, str]) -> D
         out = lines if out is None else out.unionByName(lines)
     if path := f.CenterOutputFile:
         textfiles.write_lines(textfiles.dated(out), "line", ["cluster", "line"], path)
+        averages = centers.averages({"SmallestDistanceMeans": mean}, {"SmallestMDSDistanceMeans": coordinate, "SmallestMDSCoG": gravity}, cells, points)
+        textfiles.write_lines(centers.average_lines(averages), "line", ["cluster", "line"], f"{path}.averages")
     return out
 
 
@@ -80,8 +85,14 @@ def main(arguments: list[str] | None = None) -> None:
     overrides = dict(x.split("=", 1) for x in given.overrides)
     if given.command == "cluster":
         cluster(spark, text, overrides, given.threads, given.nodes, given.state)
-    else:
+    elif given.command == "centers":
         find_centers(spark, text, overrides).count()
+    elif given.command == "extract":
+        filejobs.extract(spark, text, overrides, given.points)
+    elif given.command == "collate":
+        filejobs.collate(spark, text, overrides)
+    else:
+        filejobs.merge(spark, text, overrides)
 
 
 if __name__ == "__main__":

@@ -73,6 +73,10 @@ def _batch(gi: int, gj: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([gi], pa.int32()), pa.array([gj], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (i.astype(np.int64), j.astype(np.int64), d.astype("<i2")))], names=_NAMES)
 
 
+#: One block as a batch, for readers of blocks.
+block = _batch
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         for gi, gj, i, j, d in zip(*(b.column(c) for c in _NAMES)):

@@ -166,3 +166,18 @@ def center_coordinate_distances(top: DataFrame, points: DataFrame) -> DataFrame:
     d = a.join(b, (F.col("cluster") == F.col("cb")) & (F.col("i") != F.col("j"))).withColumn("d", euclid("a", "b"))
     first = F.max(F.when(F.col("rb") == 1, F.col("d")))
     return d.groupBy("cluster", F.col("i").alias("idx")).agg(F.round(F.avg("d"), 9).alias("mean_other"), F.round(F.coalesce(first, F.lit(0.0)), 9).alias("to_top"))
+
+
+def averages(by_distance: dict[str, DataFrame], by_coordinate: dict[str, DataFrame], cells: DataFrame, points: DataFrame) -> DataFrame:
+    """(method, cluster, idx, mean_other, to_top) of every method's centers, each by the kind of distance it ranks by."""
+    parts = [center_distances(top, cells).withColumn("method", F.lit(m)) for m, top in by_distance.items()]
+    parts += [center_coordinate_distances(top, points).withColumn("method", F.lit(m)) for m, top in by_coordinate.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("method", "cluster", "idx", "mean_other", "to_top")
+
+
+def average_lines(rows: DataFrame) -> DataFrame:
+    """(cluster, line) of ``averages``."""
+    return rows.select("cluster", F.format_string("Method=%s Group=%d PointNumber=%-6d MeanToOthers=%.6f ToFirst=%.6f", "method", F.col("cluster").cast("long"), F.col("idx").cast("long"), "mean_other", "to_top").alias("line"))

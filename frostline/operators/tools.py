@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import colorsys
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from . import em
+
 DUST = 100_000
 
 
@@ -51,6 +55,20 @@ def extract(cells: DataFrame, assign: DataFrame, clusters: list[int], joins: dic
     return cells.join(a, "i").join(b, "j").where("cluster = cj").select("cluster", F.col("a").alias("i"), F.col("b").alias("j"), "d")
 
 
+def extract_rows(rows: DataFrame, assign: DataFrame, clusters: list[int]) -> DataFrame:
+    """(cluster, i, d): the same sub-matrices in row form from rows(i, d array<short>), without making a cell.
+
+    The ids of a cluster are one array, never longer than a row.  They and the points' places are broadcast up to ``em.BROADCAST_ROWS`` points and joined beyond it.
+    A point outside the matrix raises.
+    """
+    place = ordinals(assign.where(F.col("cluster").isin(clusters)))
+    few = place.limit(em.BROADCAST_ROWS + 1).count() <= em.BROADCAST_ROWS
+    side = F.broadcast if few else lambda df: df
+    members = place.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda x: x["idx"]).alias("members"))
+    own = rows.join(side(place.select(F.col("idx").alias("i"), "cluster", "pos")), "i").join(side(members), "cluster")
+    return own.select("cluster", F.col("pos").cast("int").alias("i"), F.transform("members", lambda m: F.element_at("d", m + 1)).alias("d"))
+
+
 def reindexed_points(points: DataFrame, assign: DataFrame, clusters: list[int]) -> DataFrame:
     """(cluster, pos, x, y, z, one): coordinates of listed clusters with new indices and cluster column 1."""
     place = ordinals(assign.where(F.col("cluster").isin(clusters)))
@@ -80,6 +98,30 @@ def collate(assign: DataFrame, subs: DataFrame, joins: dict[int, dict[int, int]]
     return place.join(F.broadcast(numbered), ["cluster", "sub"], "left").select("idx", F.coalesce("new", F.lit(DUST)).cast("int").alias("cluster"))
 
 
+def collate_planned(assign: DataFrame, subs: DataFrame, plan: dict[int, int], clusters: int, joins: dict[int, dict[int, int]] | None = None) -> DataFrame:
+    """(idx, cluster): sub-clusters numbered as declared, whether or not they have points.
+
+    Each of the clusters 0 .. ``clusters`` - 1 has plan[c] sub-clusters, or one where it is not planned; a joined sub-id takes its main's number.  Dust stays; a point
+    of a planned cluster without a declared sub-id, and one of a cluster that is not declared, raise.
+    """
+    numbers, at = [], 0
+    for c in range(clusters):
+        into, own = join_map((joins or {}).get(c, {})), {}
+        for k in range(plan.get(c, 1)):
+            if k not in into:
+                own[k], at = at, at + 1
+        if lost := [k for k in range(plan.get(c, 1)) if into.get(k, k) not in own]:
+            raise ValueError(f"sub-clusters {lost} of cluster {c} are joined to none that is declared")
+        numbers += [(c, k, own[into.get(k, k)]) for k in range(plan.get(c, 1))]
+    new = assign.sparkSession.createDataFrame(numbers, "cluster int, sub int, new int")
+    place = ordinals(assign.where(F.col("cluster") != DUST)).join(subs, ["cluster", "pos"], "left")
+    sub = F.when(F.col("cluster").isin(list(plan)), F.col("sub")).otherwise(F.lit(0)) if plan else F.lit(0)
+    # the declared numbers are the arguments of the call
+    numbered = place.withColumn("sub", sub).join(F.broadcast(new), ["cluster", "sub"], "left")
+    known = F.when(F.col("new").isNull(), F.raise_error(F.format_string("point %d of cluster %d has no declared sub-cluster", F.col("idx").cast("long"), F.col("cluster").cast("long")))).otherwise(F.col("new"))
+    return numbered.select("idx", known.cast("int").alias("cluster")).unionByName(assign.where(F.col("cluster") == DUST).select("idx", F.lit(DUST).alias("cluster")))
+
+
 def offsets(counts: DataFrame) -> DataFrame:
     """(cluster, first): running offset of each cluster's sub-clusters; counts(cluster, k)."""
     w = Window.orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,8 +170,20 @@ def cluster_xml(clusters: DataFrame) -> DataFrame:
     return clusters.select("key", el.alias("xml"))
 
 
-def palette_color(cluster: Column, size: int = 50) -> Column:
-    return F.pmod(cluster, F.lit(size)).cast("int")
+def palette(spark: SparkSession, size: int = 50) -> DataFrame:
+    """(place, a, r, g, b): hues evenly around the circle, in steps that keep neighbours apart; stands in for a palette file."""
+    rows = [(k, 255, *(round(255 * x) for x in colorsys.hsv_to_rgb(k * 0.381966 % 1, 0.85, 0.9 - 0.2 * (k % 3)))) for k in range(size)]
+    return spark.createDataFrame(rows, "place int, a int, r int, g int, b int")
+
+
+def coloured(assign: DataFrame, colours: DataFrame) -> DataFrame:
+    """(key, label, a, r, g, b, size, shape) of each cluster, as ``cluster_xml`` takes it: colours(place, a, r, g, b) are dealt around by cluster number."""
+    colours = colours.select("place", "a", "r", "g", "b")
+    keys = assign.select(F.col("cluster").cast("int").alias("key")).distinct()
+    label = F.when(F.col("key") == DUST, "Dust").otherwise(F.col("key").cast("string"))
+    dealt = keys.join(F.broadcast(colours.agg(F.count(F.lit(1)).alias("colours"))), how="cross")  # one row beside each cluster
+    dealt = dealt.withColumn("place", F.pmod("key", F.col("colours")).cast("int"))
+    return dealt.join(em.small(colours), "place").select("key", label.alias("label"), "a", "r", "g", "b", F.lit(1).alias("size"), F.lit(3).alias("shape"))
 
 
 def center_plot_numbers(centers: DataFrame, methods: int, highest: Column) -> DataFrame:

@@ -79,6 +79,28 @@ def _(spark, sf):
     return t.zip_by_position(p.select("idx"), p.select(F.col("idx").alias("k"), "cluster").withColumnRenamed("k", "idx"), "idx").select("idx", "cluster", (F.col("idx") - F.col("idx_right")).alias("gap"))
 
 
+@query("q92_collate_planned", P + ", n AS (SELECT c, k, row_number() OVER (ORDER BY c, k) - 1 AS new FROM (SELECT range AS c, unnest(CASE range WHEN 1 THEN [0, 1, 2] WHEN 4 THEN [0, 1, 2, 3] ELSE [0] END) AS k FROM range(12)) WHERE NOT (c = 4 AND k = 2)), " + ORD + ", s AS (SELECT idx, cluster, CASE WHEN cluster = 1 THEN pos % 3 WHEN cluster = 4 THEN CASE pos % 3 WHEN 2 THEN 1 ELSE pos % 3 END ELSE 0 END AS sub FROM o) SELECT idx, CAST(CASE WHEN cluster = 9 THEN 100000 ELSE new END AS INTEGER) AS cluster FROM s LEFT JOIN n ON c = cluster AND k = sub")
+def _(spark, sf):
+    """Twelve clusters are declared, two of them with sub-clusters; 2 is joined to 1 in cluster 4, whose fourth has no point."""
+    a = inputs.assignment(spark, sf).withColumn("cluster", F.when(F.col("cluster") == 9, t.DUST).otherwise(F.col("cluster")))
+    return t.collate_planned(a, _subs(spark, sf).where("cluster in (1, 4)"), {1: 3, 4: 4}, 12, {4: {2: 1}})
+
+
+@query("q93_extract_rows", D + ", " + POINTS + f", {ORD} SELECT a.cluster, CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, d.d FROM d JOIN o a ON a.idx = d.i JOIN o b ON b.idx = d.j WHERE a.cluster = b.cluster AND a.cluster IN (0, 2, 5)")
+def _(spark, sf):
+    rows = b.to_rows(b.distance_blocks(inputs.vectors(spark, sf)))
+    out = t.extract_rows(rows, inputs.assignment(spark, sf), [0, 2, 5])
+    return out.select("cluster", "i", F.posexplode("d").alias("j", "d")).select("cluster", "i", "j", F.col("d").cast("int").alias("d"))
+
+
+@query("q94_plot_clusters", """WITH k AS (SELECT DISTINCT CASE WHEN label = 9 THEN 100000 ELSE label END AS key FROM embeddings), c AS (SELECT n_nationkey AS place, n_nationkey * 10 AS r, 255 - n_nationkey AS g, n_regionkey AS b FROM nation) SELECT CAST(key AS INTEGER) AS key, printf('<cluster><key>%d</key><label>%s</label><visible>1</visible><default>0</default><color r="%d" g="%d" b="%d" a="255"/><size>1</size><shape>3</shape></cluster>', key, CASE WHEN key = 100000 THEN 'Dust' ELSE CAST(key AS VARCHAR) END, r, g, b) AS xml FROM k JOIN c ON place = key % (SELECT count(*) FROM nation)""")
+def _(spark, sf):
+    """A palette of 25 colours, dealt around by cluster number."""
+    colours = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("place"), F.lit(255).alias("a"), (F.col("n_nationkey") * 10).alias("r"), (255 - F.col("n_nationkey")).alias("g"), F.col("n_regionkey").alias("b"))
+    a = inputs.assignment(spark, sf).withColumn("cluster", F.when(F.col("cluster") == 9, t.DUST).otherwise(F.col("cluster")))
+    return t.cluster_xml(t.coloured(a, colours))
+
+
 @query("q86_offsets", "WITH c AS (SELECT label AS cluster, count(*) % 5 + 1 AS k FROM embeddings GROUP BY label) SELECT cluster, CAST(coalesce(sum(k) OVER (ORDER BY cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM c")
 def _(spark, sf):
     a = inputs.assignment(spark, sf).groupBy("cluster").agg((F.count(F.lit(1)) % 5 + 1).alias("k"))

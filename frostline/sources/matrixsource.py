@@ -1,10 +1,10 @@
 """Binary int16 matrices as a data source: read by ranges of rows, written as files of each cluster with a commit.
 
-    spark.dataSource.register(Int16Matrix)
+    enable(spark)
     spark.read.format("int16matrix").option("columns", n).load(path)                  # (i, d)
     frame.write.format("int16matrix").mode("append").option("config", text).save(path)   # (cluster, i, d)
 
-A reader's partition is a range of bytes, and a condition on ``i`` narrows the ranges before any byte is read (with ``spark.sql.python.filterPushdown.enabled``).  Options:
+A reader's partition is a range of bytes, and a condition on ``i`` narrows the ranges before any byte is read (``enable`` sets what Spark needs for it).  Options:
 ``columns`` of the file, ``endian`` (little or big), ``repetitions`` (each row is tiled so often), ``partition_bytes``.
 
 The writer takes rows sorted by cluster and i inside each partition (``sorted_for_write``).  Tasks write parts under a name of their attempt; the driver puts the parts of all
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -189,6 +189,12 @@ class Int16Matrix(DataSource):
         return MatrixWriter(dict(self.options), overwrite)
 
 
+def enable(spark: SparkSession) -> None:
+    """Registers the source and lets conditions on i reach its reader, which Spark asks for as soon as a reader takes any."""
+    spark.dataSource.register(Int16Matrix)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 def sorted_for_write(rows: DataFrame) -> DataFrame:
     """(cluster, i, d) in ranges of cluster and i, so a large cluster is several parts."""
     return rows.select("cluster", "i", "d").repartitionByRange("cluster", "i").sortWithinPartitions("cluster", "i")
@@ -198,9 +204,13 @@ def write_clusters(cells: DataFrame, path: str, text: str = "", plan: dict[int,
     """The sub-matrices (cluster, i, j, d) of ``tools.extract`` as files of each cluster with their configurations."""
     from pyspark.sql import functions as F
 
-    spark = cells.sparkSession
-    spark.dataSource.register(Int16Matrix)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("j", F.col("d").cast("short").alias("d")))), lambda x: x["d"])
     rows = cells.groupBy("cluster", "i").agg(ordered.alias("d")).select(F.col("cluster").cast("int").alias("cluster"), F.col("i").cast("int").alias("i"), "d")
-    out = sorted_for_write(rows).write.format("int16matrix").mode("append").option("config", text)
+    write_rows(rows, path, text, plan)
+
+
+def write_rows(rows: DataFrame, path: str, text: str = "", plan: dict[int, int] | None = None, endian: str = "little") -> None:
+    """The same from row form (cluster, i, d array<short>)."""
+    enable(rows.sparkSession)
+    out = sorted_for_write(rows).write.format("int16matrix").mode("append").option("config", text).option("endian", endian)
     out.option("clusters", " ".join(f"{c}={k}" for c, k in (plan or {}).items())).save(path)

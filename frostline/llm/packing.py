@@ -1,13 +1,19 @@
 """Variable-capacity best-fit packing.
 
 Documents become pieces of at most the largest permitted length (a longer document is cut, nothing is dropped).  Pieces are dealt by a hash of
-the id to shards of a bounded number of tokens, and each shard is packed on its own: pieces in decreasing order go to the open bin with the least
-room that fits.  If none fits, a bin is opened at the capacity of least cost per token it can hope to fill:
+the id to shards of a bounded number of tokens, and each shard is packed on its own.  A sequence of a permitted length c costs, padding included,
 
-    cost(c) = (c + overhead) / min(c, piece + tokens still to place that fit beside it)
+    cost(c) = c + c * c / attention + overhead
 
-so all permitted lengths compete: large bins while small pieces remain to fill them, smaller ones as the shard runs out.  At the end every
-bin is downsized to the smallest permitted capacity that holds its contents.
+in token equivalents: work linear in the tokens, attention's quadratic share (equal to the linear one at c = ``attention``, six times a model's width) and a
+fixed part, so a long bin must earn its length by what it holds.  Pieces in decreasing order go to the open bin with the least room that fits.  If none
+fits, a bin is opened at the capacity of least cost per token it can hope to fill:
+
+    cost(c) / min(c, piece + tokens still to place that fit beside it)
+
+That hope is too high where small pieces run short, so the shard is also packed with each permitted length as the least one to open, and once more
+for each with every bin that can be emptied into the others dissolved.  The packing of least total cost, its bins downsized to the smallest permitted
+capacity that holds them, is the one that counts: all lengths are chosen together, by what they cost the whole shard.
 
 Shards depend on ids and total size alone, so a rerun after a lost executor packs alike.  A shard is the unit of memory: raise the number of shards,
 never the size.  A piece row has its place, so bins can be written by grouping on (shard, bin).
@@ -30,53 +36,126 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import table, tune
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
+#: The length at which attention costs as much as all else: six times the width, here of a model 4 096 wide.
+ATTENTION = 24_576.0
 #: With up to so many shards the heavy ids, two a shard at most, are broadcast.
 BROADCAST_SHARDS = 100_000
 _OUT = "doc_id long, piece int, first_token long, n_tokens int, shard int, bin int, offset int, capacity int, bin_tokens int"
 
 
-def best_fit(sizes: np.ndarray, capacities: Sequence[int], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece and the downsized capacity of each bin; pieces come in the order to place them."""
-    caps = sorted(capacities)
-    largest = caps[-1]
-    holders: list[list[int]] = [[] for _ in range(largest + 1)]  # open bins by room left
-    open_rooms = 0  # bit r: some bin has room r
-    fill: list[int] = []
-    capacity: list[int] = []
-    where, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    behind = np.cumsum(sizes[::-1])[::-1]  # tokens from each piece on
+def bin_cost(capacity: np.ndarray, overhead: float, attention: float) -> np.ndarray:
+    """Cost of sequences of these lengths, in token equivalents."""
+    c = np.asarray(capacity, np.float64)
+    return c + c * c / attention + overhead
+
+
+class _Rooms:
+    """Open bins by the room they have left; the tightest that fits is found by one bit operation."""
+
+    def __init__(self, largest: int):
+        self.holders: list[list[int]] = [[] for _ in range(largest + 1)]
+        self.bits = 0  # bit r: some bin has room r
+
+    def add(self, b: int, room: int) -> None:
+        if not self.holders[room]:
+            self.bits |= 1 << room
+        self.holders[room].append(b)
+
+    def tightest(self, n: int) -> tuple[int, int] | None:
+        fits = self.bits >> n
+        if not fits:
+            return None
+        room = n + (fits & -fits).bit_length() - 1
+        b = self.holders[room].pop()
+        if not self.holders[room]:
+            self.bits ^= 1 << room
+        return b, room
+
+
+def _place(sizes: list[int], opened: list[int], largest: int) -> tuple[list[int], int]:
+    """Bin of each piece, and the number of bins, if the i-th piece opens a bin of ``opened[i]`` where no open bin fits."""
+    rooms, where, bins = _Rooms(largest), [], 0
+    for n, capacity in zip(sizes, opened):
+        found = rooms.tightest(n)
+        if found is None:
+            found, bins = (bins, capacity), bins + 1
+        where.append(found[0])
+        rooms.add(found[0], found[1] - n)
+    return where, bins
+
+
+def _dissolved(sizes: np.ndarray, where: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """The placement with each bin whose pieces all fit into the room that others' downsized capacities leave dealt to them, emptiest first."""
+    fill = np.bincount(where, sizes).astype(np.int64)
+    room = (caps[np.searchsorted(caps, fill)] - fill).tolist()
+    by_bin = np.split(np.argsort(where, kind="stable"), np.cumsum(np.bincount(where))[:-1])
+    order = np.argsort(fill, kind="stable").tolist()
+    rooms = _Rooms(int(caps[-1]))
+    for b in reversed(order):
+        rooms.add(b, room[b])
+    out = where.copy()
+    for b in order:
+        rooms.holders[room[b]].remove(b)
+        if not rooms.holders[room[b]]:
+            rooms.bits ^= 1 << room[b]
+        moved = []
+        for i in by_bin[b].tolist():
+            found = rooms.tightest(int(sizes[i]))
+            if found is None:
+                break
+            moved.append((i, *found))
+            room[found[0]] -= int(sizes[i])
+            rooms.add(found[0], room[found[0]])
+        if len(moved) == len(by_bin[b]):
+            for i, to, _ in moved:
+                out[i] = to
+                by_bin[to] = np.append(by_bin[to], i)
+            continue
+        for i, to, before in reversed(moved):
+            rooms.holders[room[to]].remove(to)
+            if not rooms.holders[room[to]]:
+                rooms.bits ^= 1 << room[to]
+            room[to] = before
+            rooms.add(to, before)
+        rooms.add(b, room[b])
+    return out
+
+
+def best_fit(sizes: np.ndarray, capacities: Sequence[int], overhead: float, attention: float = ATTENTION) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset) of each piece and the downsized capacity of each bin; pieces come in the order to place them, largest first."""
+    caps = np.array(sorted(capacities), np.int64)
+    if not len(sizes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    costs = bin_cost(caps, overhead, attention)
+    sizes = np.asarray(sizes, np.int64)
+    behind = np.cumsum(sizes[::-1])[::-1] - sizes  # tokens after each piece
     ordered = np.sort(sizes)
     below = np.concatenate([[0], np.cumsum(ordered)])
-    for i, n in enumerate(sizes.tolist()):
-        fits = open_rooms >> n
-        if fits:
-            room = n + (fits & -fits).bit_length() - 1
-            b = holders[room].pop()
-            if not holders[room]:
-                open_rooms ^= 1 << room
-        else:
-            rest = int(behind[i]) - n
-            best, size = None, largest
-            for c in caps:
-                if c >= n:
-                    beside = min(rest, int(below[np.searchsorted(ordered, c - n, "right")]))
-                    cost = (c + overhead) / min(c, n + beside)
-                    if best is None or cost <= best:
-                        best, size = cost, c
-            b, room = len(fill), size
-            fill.append(0)
-            capacity.append(size)
-        where[i], offset[i] = b, fill[b]
-        fill[b] += n
-        room -= n
-        if not holders[room]:
-            open_rooms |= 1 << room
-        holders[room].append(b)
-    final = np.array(caps)[np.searchsorted(caps, fill)] if fill else np.zeros(0, np.int64)
-    return where, offset, final
-
-
-def _pack(t: pa.Table, capacities: Sequence[int], overhead: int) -> pa.Table:
+    need = np.searchsorted(caps, sizes)
+    hoped = np.full((len(caps), len(sizes)), np.inf)
+    for j, c in enumerate(caps.tolist()):
+        beside = np.minimum(behind, below[np.searchsorted(ordered, c - sizes, "right")])
+        hoped[j] = np.where(j >= need, costs[j] / np.minimum(c, sizes + beside), np.inf)
+    policies = [len(caps) - 1 - hoped[::-1].argmin(axis=0), *(np.maximum(need, j) for j in range(len(caps)))]
+    best = None
+    for opened in policies:
+        where = np.array(_place(sizes.tolist(), caps[opened].tolist(), int(caps[-1]))[0], np.int64)
+        for placed in (where, _dissolved(sizes, where, caps)):
+            fill = np.bincount(placed, sizes).astype(np.int64)
+            total = costs[np.searchsorted(caps, fill[fill > 0])].sum()
+            if best is None or total < best[0]:
+                best = total, placed
+    _, where = np.unique(best[1], return_inverse=True)
+    fill = np.bincount(where, sizes).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    ahead = np.cumsum(sizes[order]) - sizes[order]
+    starts = np.cumsum(fill) - fill
+    offset = np.empty(len(sizes), np.int64)
+    offset[order] = ahead - starts[where[order]]
+    return where, offset, caps[np.searchsorted(caps, fill)]
+
+
+def _pack(t: pa.Table, capacities: Sequence[int], overhead: float, attention: float) -> pa.Table:
     ids, tokens = t.column("doc_id").to_numpy(zero_copy_only=False), t.column("tokens").to_numpy()
     row = np.lexsort((tokens, t.column("tie").to_numpy()))
     largest = max(capacities)
@@ -85,7 +164,7 @@ def _pack(t: pa.Table, capacities: Sequence[int], overhead: int) -> pa.Table:
     piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     size = np.minimum(tokens[doc] - piece * largest, largest)
     order = np.argsort(-size, kind="stable")
-    where, offset, final = best_fit(size[order], capacities, overhead)
+    where, offset, final = best_fit(size[order], capacities, overhead, attention)
     filled = np.bincount(where, size[order], len(final)).astype(np.int64)
     doc, piece, size = doc[order], piece[order], size[order]
     shard = t.column("shard")[0].as_py()
@@ -99,7 +178,7 @@ def word_tokens(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
 
 
-def pack(docs: DataFrame, tokens: Column | None = None, capacities: Sequence[int] = CAPACITIES, overhead: int = 16, shard_tokens: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokens: Column | None = None, capacities: Sequence[int] = CAPACITIES, overhead: float = 16, attention: float = ATTENTION, shard_tokens: int = 1 << 20) -> DataFrame:
     """doc_id, piece, first_token, n_tokens, shard, bin, offset, capacity, bin_tokens for docs(doc_id, text)."""
     spark = docs.sparkSession
     tune(spark)
@@ -116,4 +195,4 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacities: Sequence[int
     if heavy.limit(1).count():
         rows = rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(heavy) if shards <= BROADCAST_SHARDS else heavy, "tie", "left")
         deal = F.when(F.col("pieces").isNotNull(), F.xxhash64("tie", F.pmod("place", "pieces"))).otherwise(deal)
-    return rows.select("doc_id", "tokens", "tie", F.pmod(deal, F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(lambda t: _pack(t, capacities, overhead), _OUT)
+    return rows.select("doc_id", "tokens", "tie", F.pmod(deal, F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(lambda t: _pack(t, capacities, overhead, attention), _OUT)

@@ -86,6 +86,30 @@ def _(spark, sf):
     return _vectors(matrix, s, at.OwnVector(lambda x: (x["m"], x["y"] / s.c), s.c, s.a, T, 0.5))
 
 
+#: Least Ritz value of two steps (a 2 x 2 matrix), and how far its vector is from an eigenvector.
+RESIDUAL = """, tri AS (SELECT h00.k, h00.h AS a0, h11.h AS a1, h10.h AS b FROM h00 JOIN h11 USING (k) JOIN h10 USING (k)),
+low AS (SELECT *, (a0 + a1) / 2 - sqrt(((a0 - a1) / 2) ** 2 + b * b) AS least FROM tri),
+co AS (SELECT k, least, b / sqrt(b * b + (least - a0) ** 2) AS y0, (least - a0) / sqrt(b * b + (least - a0) ** 2) AS y1 FROM low)
+SELECT w0.k, round(any_value(least), 6) AS least, round(sqrt(sum((y0 * w0.w + y1 * w1.w - least * (y0 * v0.v + y1 * v1.v)) ** 2)), 6) AS residual
+FROM w0 JOIN w1 USING (idx, k) JOIN v0 USING (idx, k) JOIN v1 USING (idx, k) JOIN co ON co.k = w0.k GROUP BY w0.k"""
+
+
+@query("q64_eigen_test", PASS + PLAIN + _lanczos_sql("sp", *_own("sp", "m"), "k").split(" SELECT idx, k, round(v, 6)")[0] + RESIDUAL)
+def _(spark, sf):
+    """Self-test of a spectrum after two steps: the least value of each cluster's plain operator, and what one more application leaves of its vector."""
+    matrix = _matrix(spark, sf)
+
+    def tested() -> at.Run:
+        s = yield from _state(matrix)
+        op = at.OwnVector(lambda x: (x["m"], x["y"] / s.c), s.c, s.a, T, 0.5)
+        e = yield from at.lanczos(matrix.n, s.at, op, Options(), steps=2)
+        return (yield from at.eigen_test(e, op))
+
+    e, residual = at.drive(matrix, {0: tested()})[0]
+    out = [(k, float(e.least[k]), float(residual[k])) for k in range(K)]
+    return spark.createDataFrame(out, "k int, least double, residual double").select("k", F.round("least", 6).alias("least"), F.round("residual", 6).alias("residual"))
+
+
 #: Each cluster counted twice in its own replica of the pass.
 DOUBLED = PASS.replace("m AS (SELECT idx, k, x / sum(x) OVER (PARTITION BY idx) AS m FROM w)", "m0 AS (SELECT q.k AS q, w.idx, w.k, w.x / sum(CASE WHEN w.k = q.k THEN 2 ELSE 1 END * w.x) OVER (PARTITION BY q.k, w.idx) AS m FROM w CROSS JOIN kk q), m AS (SELECT idx, k, m FROM m0 WHERE q = k)")
 

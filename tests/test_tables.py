@@ -104,6 +104,22 @@ def test_operators_equal_the_dense_ones():
     assert np.allclose(applied(at.Full(state), v[:, None, :])[:, 0], anneal.cross_derivative_times(dense.Dense(d), s, v))
 
 
+def test_run_tells_of_eigen_test_and_moved_occupations(spark):
+    o = anneal.Options(**FAST, max_clusters=2, eigen_test=True)
+    labels, run = at.anneal(blocks.distance_blocks(vectors(spark, cloud(1, 40, 2)), side=25), o, 0.2, strict=True)
+    left = [float(x.rsplit("residual=", 1)[1]) for x in run.log if "eigen test" in x]
+    assert left and max(left) < 0.02 and len(set(clusters(labels))) == 2
+    moved = [dict(p.split("=") for p in x.split(": ")[1].split()) for x in run.log if "occupations moved" in x]
+    assert len(moved) == run.progress.splits == 1 and 0.3 < float(moved[0]["mean"]) < 0.7  # 40 points become about 20
+    run.matrix.close()
+
+
+def test_spectrum_that_does_not_settle_fails(spark):
+    made = at.BlockMatrices(blocks.distance_blocks(vectors(spark, cloud(2, 20, 2))))
+    with pytest.raises(at.NotConverged):
+        at.critical_spectrum(made, tolerance=-1.0)
+
+
 def test_ritz_values_of_a_full_space():
     rng = np.random.default_rng(7)
     a, b = rng.standard_normal((5, 1)), np.abs(rng.standard_normal((4, 1)))

@@ -32,7 +32,7 @@ def _state(matrix: at.BlockMatrices, doubled: list[int] | None = None) -> at.Run
 
 
 def _matrix(spark: SparkSession, sf: str) -> at.BlockMatrices:
-    return at.BlockMatrices(blocks.distance_blocks(inputs.vectors(spark, sf)))
+    return at.BlockMatrices.of_vectors(inputs.vectors(spark, sf))
 
 
 @query("q27_block_em_pass", PASS + " SELECT idx, k, round(m, 6) AS m, round(b, 6) AS b, round(b + a, 6) AS eps FROM s")

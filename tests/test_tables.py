@@ -160,3 +160,17 @@ def test_block_names_are_file_names(spark, tmp_path):
     (folder / "notes.bin").write_bytes(b"")
     got = textfiles.read_blocks(spark, str(folder / "*.bin"), 2).collect()
     assert {(r["bi"], r["bj"]) for r in got} == {(0, 1)} and [r["d"] for r in got] == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_matrices_made_from_vectors_in_each_product(spark, monkeypatch, parts):
+    monkeypatch.setattr(blocks, "SIDE", 16)
+    monkeypatch.setattr(at, "TILE_POINTS", 24)
+    x = cloud(7, 70, 2)
+    rows = [(p, 100 * p + 3 * i, v.tolist()) for p in range(parts) for i, v in enumerate(x[: 70 - 9 * p])]
+    made = at.BlockMatrices.of_vectors(spark.createDataFrame(rows, "part int, idx int, vector array<double>"), dense_bytes=0)
+    assert made.kind == "<f8" and made.sizes == {p: 70 - 9 * p for p in range(parts)}
+    assert "d" not in made.grid.columns
+    w = np.arange(140.0).reshape(70, 2)
+    assert np.allclose(made.times(w), matrix(x) @ w * UNIT)
+    made.close()

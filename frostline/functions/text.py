@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -20,12 +23,23 @@ def elapsed(ms: Column) -> Column:
     return F.format_string("%dd:%02dH:%02dM:%02dS:%03dmS", part(86_400_000, 0), part(3_600_000, 24), part(60_000, 60), part(1_000, 60), (ms % 1000).cast("long"))
 
 
+def _printed(x: Column, pattern: str) -> Column:
+    """C's printf of a double: the exact binary value rounded, ties to even; the JVM's formatter rounds ties of the shortest decimal up."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            # a null arrives as NaN beside true NaNs, and is made null again outside
+            yield pd.Series([pattern % v for v in b.astype("float64")], dtype="object")
+
+    return F.when(x.isNotNull(), F.pandas_udf(run, "string")(x.cast("double")))
+
+
 def fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    return _printed(x, f"%.{digits}f")
 
 
 def scientific(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}E", x)
+    return _printed(x, f"%.{digits}E")
 
 
 def round_up(x: Column, digits: int = 4) -> Column:

@@ -224,3 +224,14 @@ def test_centred_matrix_has_zero_means(spark):
     means = spectrum.centred(cells).groupBy("i").agg(F.sum("c").alias("s")).collect()
     assert all(abs(r["s"]) < 1e-9 for r in means)
     assert distance.asymmetric(cells).first()["bad_pairs"] == 0
+
+
+def test_numbers_are_printed_like_c(spark):
+    from frostline.functions import text
+
+    values = [1125.0, 1135.0, 0.125, 1.005, 2.5e-7, 0.0, -1125.0, 0.0005, 1e100, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = rows.select("i", text.scientific(rows.v, 2).alias("e"), text.fixed(rows.v, 3).alias("f"), text.fixed(rows.v, 2).alias("g")).orderBy("i").collect()
+    assert [r["e"] for r in got] == [None if v is None else f"{v:.2E}" for v in values] and got[0]["e"] == "1.12E+03"
+    assert [r["f"] for r in got] == [None if v is None else f"{v:.3f}" for v in values]
+    assert [r["g"] for r in got][2] == "0.12"

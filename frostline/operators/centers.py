@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import blocks
 from .em import small
 from .reductions import k_smallest
 
@@ -41,6 +43,52 @@ def links(cells: DataFrame, points: DataFrame, cuts: Cuts = Cuts()) -> DataFrame
     return both.where(ok).select("cluster", "i", "j", F.col("d").cast("long").alias("d"), dist.alias("dist"), euclid("a", "b").alias("mds"))
 
 
+def _own(vectors: DataFrame, points: DataFrame, *more: Column) -> DataFrame:
+    """(idx, vector, part, extra) with each point's cluster as its part and length, x, y, z and ``more`` beside its vector; a missing length passes every cut."""
+    p = points.where("cluster is not null")
+    extra = F.array(F.coalesce("length", F.lit(1 << 30)).cast("double"), *(F.col(c).cast("double") for c in "xyz"), *more)
+    return vectors.join(p.select("idx", F.col("cluster").alias("part"), extra.alias("extra")), "idx")
+
+
+def _kept(cuts: Cuts, d: np.ndarray, i: blocks.Side, j: blocks.Side) -> np.ndarray:
+    """Cells that pass the cuts, without those of a point with itself."""
+    ok = d / 32767.0 > cuts.min_distance
+    for length, least in ((i.extra[:, :1], cuts.length_a), (j.extra[None, :, 0], cuts.length_b)):
+        if not (length > least).all():
+            ok &= length > least
+    if i.ids[0] <= j.ids[-1] and j.ids[0] <= i.ids[-1]:
+        ok &= i.ids[:, None] != j.ids
+    return ok
+
+
+def distance_counts(vectors: DataFrame, points: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
+    """(cluster, d, n): how many of the pairs of ``links`` have each distance; only blocks inside a cluster are made, and no pair is kept."""
+    return blocks.value_counts(_own(vectors, points), lambda d, i, j: _kept(cuts, d, i, j)).withColumnRenamed("part", "cluster")
+
+
+def counted_stats(counts: DataFrame) -> DataFrame:
+    """``group_stats`` of (cluster, d, n)."""
+    n, s = F.sum("n"), F.sum(F.col("d").cast("long") * F.col("n"))
+    return counts.groupBy("cluster").agg(n.alias("n"), (s.cast("double") / n / 32767.0).alias("mean"), (F.max("d") / 32767.0).alias("max_d"))
+
+
+def point_sums(vectors: DataFrame, points: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
+    """(cluster, idx, links, s, mds): number, distances and 3-D distances of a point's pairs of ``links``, added up where their blocks are made."""
+
+    def of(d: np.ndarray, i: blocks.Side, j: blocks.Side) -> tuple[np.ndarray, np.ndarray]:
+        ok = _kept(cuts, d, i, j)
+        square = np.zeros(d.shape)
+        for c in (1, 2, 3):
+            x = i.extra[:, c, None] - j.extra[:, c]
+            x *= x
+            square += x
+        mds = np.sqrt(square, out=square)
+        return np.zeros(1), np.stack([ok.sum(axis=1), (d * ok).sum(axis=1), (mds * ok).sum(axis=1)], axis=1)[:, None]
+
+    sums = blocks.fold(_own(vectors, points), of, ["links", "s", "mds"]).where("links > 0")
+    return sums.select(F.col("part").alias("cluster"), "idx", F.col("links").cast("long").alias("links"), F.col("s").cast("long").alias("s"), "mds")
+
+
 def euclid(a: str, b: str) -> Column:
     """3-D distance of columns x, y, z with two suffixes."""
     square = lambda c: (F.col(c + a) - F.col(c + b)) * (F.col(c + a) - F.col(c + b))
@@ -94,6 +142,11 @@ def mds_group_mean(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("mds").alias("mds_mean"))
 
 
+def summed_mds_mean(sums: DataFrame) -> DataFrame:
+    """``mds_group_mean`` of ``point_sums``."""
+    return sums.groupBy("cluster").agg(F.sum("links").alias("n"), (F.sum("mds") / F.sum("links")).alias("mds_mean"))
+
+
 def distance_histogram(pairs: DataFrame, bins: int = RADIUS_BINS) -> DataFrame:
     """(cluster, bin, n): equal bins of [0, max] of the cluster; the maximum falls into the last."""
     top = F.broadcast(pairs.groupBy("cluster").agg(F.max("d").alias("top")))

@@ -6,7 +6,7 @@ import colorsys
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from . import em
+from . import blocks, em
 
 DUST = 100_000
 
@@ -55,6 +55,22 @@ def extract(cells: DataFrame, assign: DataFrame, clusters: list[int], joins: dic
     return cells.join(a, "i").join(b, "j").where("cluster = cj").select("cluster", F.col("a").alias("i"), F.col("b").alias("j"), "d")
 
 
+def _placed(vectors: DataFrame, assign: DataFrame, clusters: list[int], joins: dict[int, int] | None) -> DataFrame:
+    """(idx, vector, part): the points of the listed clusters with their place in the cluster, joined or not, as idx and the cluster as part."""
+    kept = assign.withColumn("cluster", mapped(F.col("cluster"), join_map(joins or {}))).where(F.col("cluster").isin(clusters))
+    return vectors.join(ordinals(kept), "idx").select(F.col("pos").alias("idx"), "vector", F.col("cluster").alias("part"))
+
+
+def extract_vectors(vectors: DataFrame, assign: DataFrame, clusters: list[int], joins: dict[int, int] | None = None) -> DataFrame:
+    """``extract`` of the distances of vectors(idx, vector): only the listed clusters' blocks are made."""
+    return blocks.part_cells(_placed(vectors, assign, clusters, joins)).withColumnRenamed("part", "cluster")
+
+
+def extract_row_sums(vectors: DataFrame, assign: DataFrame, clusters: list[int], joins: dict[int, int] | None = None) -> DataFrame:
+    """(cluster, i, s, n): sum and number of each row's cells in the same sub-matrices, none of which is kept."""
+    return blocks.row_sums(_placed(vectors, assign, clusters, joins)).select(F.col("part").alias("cluster"), F.col("idx").alias("i"), "s", "n")
+
+
 def extract_rows(rows: DataFrame, assign: DataFrame, clusters: list[int]) -> DataFrame:
     """(cluster, i, d): the same sub-matrices in row form from rows(i, d array<short>), without making a cell.
 

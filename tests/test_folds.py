@@ -50,7 +50,7 @@ def test_moments_symmetry_and_soft_sums(spark, vectors):
 
 
 def test_squares_beyond_64_bits(spark):
-    rows = spark.createDataFrame([(1 << 40, 1 << 54, 7 << 60)] * 4, "n long, s long, q long")
+    rows = spark.createDataFrame([(1 << 40, 1 << 50, 7 << 60)] * 4, "n long, s long, q long")
     assert distance.temperature_of(rows).first()["n"] == 1 << 42
 
 
@@ -67,3 +67,21 @@ def test_no_query_keeps_the_matrix(spark, name):
     spark.catalog.clearCache()
     made = catalog.QUERIES[name](spark, SF)
     assert "InMemoryTableScan" not in made._jdf.queryExecution().toString()
+
+
+def test_center_sums_and_extraction_equal_those_of_pairs(spark, vectors):
+    from frostline.operators import centers as c, tools
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), at % 3 if at else None, None if at % 7 == 0 else int(rng.integers(100, 500)), *rng.random(3).tolist()) for at, i in enumerate(IDS)]
+    points = spark.createDataFrame(rows, "idx int, cluster int, length int, x double, y double, z double").persist()
+    cells = distance.from_vectors(vectors).persist()
+    flat = lambda df: {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()}
+    for cuts in (c.Cuts(), c.Cuts(min_distance=0.3, length_a=200, length_b=300)):
+        pairs = c.links(cells, points, cuts)
+        assert flat(c.counted_stats(c.distance_counts(vectors, points, cuts))) == flat(c.group_stats(pairs))
+        assert flat(c.summed_mds_mean(c.point_sums(vectors, points, cuts))) == flat(c.mds_group_mean(pairs))
+    want = flat(tools.extract(cells, points.select("idx", "cluster"), [0, 1], {2: 0}).select("cluster", "i", "j", "d"))
+    got = tools.extract_vectors(vectors, points.select("idx", "cluster"), [0, 1], {2: 0}).select("cluster", "i", "j", "d")
+    assert flat(got) == want and got.count() == len(want)
+    points.unpersist(), cells.unpersist()

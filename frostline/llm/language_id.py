@@ -5,6 +5,9 @@ to ``ORDER - 1`` characters before it inside the padded run.  Counting is a Spar
 task folds its texts to distinct runs first, then to distinct n-grams, so what is shuffled follows the number of distinct n-grams.
 The highest order uses counts, lower orders continuation counts (n-grams that open a run keep counts).
 
+Inverse temperature and rejection limits come from all distinct texts of a fold, a fifth of the training rows, scored by the model of the other rows; they are
+sums and order statistics made in Spark.  The query then predicts with a model of all training rows and these figures.
+
 No n-gram is left out.  Continuation counts, context totals, discounts and the interpolated log probability of each n-gram under every language
 are made in Spark, one order after the other.  A model of at most ``broadcast_numbers`` numbers is sent to all tasks; for a larger one documents are
 dealt to blocks by a hash, a block asks once for each distinct n-gram it holds, and its rows are scored with the part of the model it got,
@@ -23,7 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textkernel as tk
 from .common import crc_mod, table, tune
@@ -31,6 +34,12 @@ from .common import crc_mod, table, tune
 ORDER = 5
 #: Distinct runs a task holds before it counts their n-grams.
 FLUSH_RUNS = 200_000
+#: One training row in so many is in the fold that calibrates.
+FOLDS = 5
+#: Inverse temperatures among which calibration chooses.
+BETAS = 2.0 ** np.arange(-1, 7, 0.5)
+#: Share of a language's known texts that its rejection limit lies above, before half a bit is added.
+TAIL = 0.999
 _NO_LETTER = np.ones(256, bool)
 _NO_LETTER[np.r_[65:91, 97:123, 128:256]] = False
 _SCHEMA = "lang string, n int, h long, suffix long, context long, opens boolean, c long"
@@ -176,35 +185,38 @@ class Model:
                 out[some, i] = -w.sums(bits[inverse, i])[some] / size[some]
         return out, size
 
-    def confidence(self, entropy: np.ndarray) -> np.ndarray:
-        """Softmax of the calibrated negative entropies; rows without letters give 0."""
+    def confidence(self, entropy: np.ndarray, beta: float | None = None) -> np.ndarray:
+        """Softmax of the negative entropies times ``beta``, the calibrated one if none is given; rows without letters give 0."""
         ok = np.isfinite(entropy).all(axis=1) & (entropy.shape[1] > 0)
         p = np.zeros_like(entropy)
         if ok.any():
-            z = -self.beta * entropy[ok]
+            z = -(self.beta if beta is None else beta) * entropy[ok]
             z = np.exp(z - z.max(axis=1, keepdims=True))
             p[ok] = z / z.sum(axis=1, keepdims=True)
         return p
 
-    def calibrate(self, e: np.ndarray, size: np.ndarray, truth: list[str], tail: float = 0.999) -> None:
-        """Inverse temperature by likelihood, and each language's entropy beyond which a text counts as rejected, from ``entropy`` of known texts."""
-        index = {x: i for i, x in enumerate(self.langs)}
-        t = np.array([index.get(x, -1) for x in truth])
-        ok = (t >= 0) & (size > 0)
-        if not ok.any():
-            return
-        e, t = e[ok], t[ok]
-        best = -np.inf
-        for beta in 2.0 ** np.arange(-1, 7, 0.5):
-            self.beta = beta
-            fit = np.log(np.maximum(self.confidence(e)[np.arange(len(t)), t], 1e-12)).sum()
-            if fit > best:
-                best, keep = fit, beta
-        self.beta = keep
-        for i in range(len(self.langs)):
-            own = e[t == i, i]
-            if len(own):
-                self.reject[i] = np.quantile(own, tail) + 0.5
+
+def calibrate(model: Model, known: DataFrame) -> None:
+    """Inverse temperature by likelihood, and each language's entropy beyond which a text counts as rejected, from all distinct rows of known(lang, text).
+
+    Only a sum for each of ``BETAS`` and two order statistics a language come to the driver.
+    """
+    # equal texts have equal figures, so they are told apart by 128 bits and never shuffled
+    keyed = known.select("lang", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit("second")).alias("k2"), "text")
+    rows = table(_apply(keyed, model, _known, "l int, k1 long, k2 long, own double, fits array<long>").dropDuplicates(["l", "k1", "k2"]), "kn-calibration")
+    met = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(F.col("fits")[i]) for i in range(len(BETAS)))).alias("fits")).collect()
+    if not met:
+        return
+    model.beta = float(BETAS[np.argmax(np.sum([r["fits"] for r in met], axis=0))])
+    # a quantile lies between two places of the ascending order, so near the top that few rows are ranked
+    at = {r["l"]: (r["n"] - int(TAIL * (r["n"] - 1)), TAIL * (r["n"] - 1) % 1) for r in met}
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("own")))
+    top = rows.select("l", "own", rank.alias("rank")).where(F.col("rank") <= max(k for k, _ in at.values()))
+    wanted = reduce(lambda x, y: x | y, ((F.col("l") == i) & F.col("rank").between(k - 1, k) for i, (k, _) in at.items()))
+    found = {(r["l"], r["rank"]): r["own"] for r in top.where(wanted).collect()}
+    for i, (k, share) in at.items():
+        low = found[i, k]
+        model.reject[i] = low + (found.get((i, k - 1), low) - low) * share + 0.5
 
 
 def estimate(counted: DataFrame, langs: list[str]) -> DataFrame:
@@ -247,34 +259,62 @@ def held_for_calibration(every: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("calibration")), F.lit(every)) == 0
 
 
-def train(docs: DataFrame, broadcast_numbers: int = 8_000_000, sample_rows: int = 2_000) -> Model:
-    """Model from docs(lang, text).
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.select("lang", F.coalesce("text", F.lit("")).alias("text")).where(F.col("lang").isNotNull())
 
-    About one row in n / ``sample_rows``, a fifth at most, picked by a hash of the text, is held out of the counts; its distinct texts calibrate the model
-    where they are, and only their entropies come to the driver.  The bound is that parameter, and no text leaves the tasks.
-    """
-    rows = docs.select("lang", F.coalesce("text", F.lit("")).alias("text")).where(F.col("lang").isNotNull())
-    every = max(5, rows.count() // sample_rows)
-    fold = held_for_calibration(every)
-    grams = rows.where(~fold).mapInArrow(count_ngrams, _SCHEMA).groupBy("lang", "n", "h").agg(F.first("suffix").alias("suffix"), F.first("context").alias("context"), F.first("opens").alias("opens"), F.sum("c").alias("c"))
-    counted = table(grams, "kn-grams")
+
+def _summed(grams: DataFrame, name: str) -> DataFrame:
+    return table(grams.groupBy("lang", "n", "h").agg(F.first("suffix").alias("suffix"), F.first("context").alias("context"), F.first("opens").alias("opens"), F.sum("c").alias("c")), name)
+
+
+def _fitted(counted: DataFrame, broadcast_numbers: int) -> Model:
     model = Model(sorted(r["lang"] for r in counted.where("n = 1").select("lang").distinct().collect()))
     if not model.langs:
         return model
     entries = estimate(counted, model.langs)
     if entries.count() * len(model.langs) <= broadcast_numbers:
-        model = model.part(entries.toArrow())
-    else:
-        model.entries = entries
-    got = _apply(table(rows.where(fold).distinct(), "kn-calibration"), model, _entropies, "lang string, e array<double>, size double").toArrow()
-    e = got.column("e").combine_chunks().flatten().to_numpy().reshape(got.num_rows, len(model.langs))
-    model.calibrate(e, got.column("size").to_numpy(), got.column("lang").to_pylist())
+        return model.part(entries.toArrow())
+    model.entries = entries
+    return model
+
+
+def _outside(docs: DataFrame, broadcast_numbers: int) -> tuple[Model, DataFrame]:
+    """(calibrated model of the rows outside the fold, their counts)."""
+    rows, fold = _labelled(docs), held_for_calibration(FOLDS)
+    counted = _summed(rows.where(~fold).mapInArrow(count_ngrams, _SCHEMA), "kn-grams")
+    model = _fitted(counted, broadcast_numbers)
+    if model.langs:
+        calibrate(model, rows.where(fold))
+    return model, counted
+
+
+def train(docs: DataFrame, broadcast_numbers: int = 8_000_000) -> Model:
+    """Model from docs(lang, text): a fifth of the rows, picked by a hash of the text, calibrates it and is left out of its counts."""
+    return _outside(docs, broadcast_numbers)[0]
+
+
+def train_whole(docs: DataFrame, broadcast_numbers: int = 8_000_000) -> Model:
+    """Model that counts every row of docs(lang, text), with the temperature and limits that ``train`` finds; a language met in the fold alone has no limit."""
+    known, counted = _outside(docs, broadcast_numbers)
+    rest = _labelled(docs).where(held_for_calibration(FOLDS)).mapInArrow(count_ngrams, _SCHEMA)
+    model = _fitted(_summed(counted.unionByName(rest), "kn-whole"), broadcast_numbers)
+    model.beta = known.beta
+    limits = dict(zip(known.langs, known.reject))
+    model.reject = np.array([limits.get(x, np.inf) for x in model.langs], float)
     return model
 
 
-def _entropies(m: Model, b: pa.RecordBatch) -> pa.RecordBatch:
+def _known(m: Model, b: pa.RecordBatch) -> pa.RecordBatch:
+    """The entropy of each text with letters under its own language, and millionths of its log likelihood at each of ``BETAS``, whose sums are exact in any order."""
     e, size = m.entropy(b.column("text"))
-    return pa.RecordBatch.from_arrays([b.column("lang"), pa.array(list(e), pa.list_(pa.float64())), pa.array(size)], names=["lang", "e", "size"])
+    index = {x: i for i, x in enumerate(m.langs)}
+    t = np.array([index.get(x, -1) for x in b.column("lang").to_pylist()], np.int32)
+    ok = np.flatnonzero((t >= 0) & (size > 0))
+    e, t = e[ok], t[ok]
+    each = np.arange(len(t))
+    fits = np.stack([np.rint(1e6 * np.log(np.maximum(m.confidence(e, beta)[each, t], 1e-12))) for beta in BETAS], axis=1).astype(np.int64)
+    kept = b.take(pa.array(ok))
+    return pa.RecordBatch.from_arrays([pa.array(t), kept.column("k1"), kept.column("k2"), pa.array(e[each, t]), pa.array(list(fits), pa.list_(pa.int64()))], names=["l", "k1", "k2", "own", "fits"])
 
 
 def _asked(t: pa.Table) -> pa.Table:
@@ -352,5 +392,5 @@ def language_id(docs: DataFrame, **options) -> DataFrame:
     """The registered query: learn where crc32(doc_id) mod 5 is not 0, predict every row."""
     tune(docs.sparkSession)
     held = crc_mod("doc_id", 5) == 0
-    model = train(docs.where(~held), **options)
+    model = train_whole(docs.where(~held), **options)
     return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")

@@ -778,3 +778,18 @@ def test_mcd_equals_numpy_and_small_sources_use_their_language(spark):
     assert all(out[i]["outlier"] for i in range(5, 201) if i % 5 == 0) and sum(out[i]["outlier"] for i in range(5, 201) if i % 5) <= 8
     assert quality_rules.mcd_outliers(docs.where("false")).count() == 0
     assert abs(quality_rules.consistency(0.75) - 1.30) < 0.03 and quality_rules.consistency(1) == 1
+
+
+def test_language_id_calibrates_on_the_whole_fold_and_counts_every_row(spark):
+    docs = spark.range(12_000, numPartitions=4).selectExpr("if(id % 3 = 0, 'aa', 'bb') AS lang", "concat_ws(' ', if(id % 3 = 0, 'abra kadabra', 'zyx wvu'), hex(xxhash64(id div 2)), if(id % 3 = 0, 'abba', 'xyz')) AS text")
+    model = language_id.train(docs)
+    fold = docs.where(language_id.held_for_calibration(5)).distinct().collect()
+    assert len(fold) > 1_500
+    for i, lang in enumerate(model.langs):
+        own = model.entropy(pa.array([r["text"] for r in fold if r["lang"] == lang]))[0][:, i]
+        assert math.isclose(model.reject[i], np.quantile(own, 0.999) + 0.5, rel_tol=1e-9)
+    held = spark.range(200).selectExpr("'qq' AS lang", "concat('qoqo quq ', id) AS text").where(language_id.held_for_calibration(5)).limit(5)
+    whole = language_id.train_whole(docs.limit(50).unionByName(held))
+    assert "qq" in whole.langs and whole.reject[whole.langs.index("qq")] == np.inf
+    rows = spark.createDataFrame([(1, "qoqo quq")], "doc_id long, text string")
+    assert language_id.identify(rows, whole).first()["lang_pred"] == "qq"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import anneal_tables as at, blocks, em
+from ..operators import anneal_tables as at, anneal_vectors, em
 from ..operators.anneal import Options
 from . import inputs
 from .inputs import D
@@ -178,8 +178,6 @@ def _(spark, sf):
 @query("q32_part_labels")
 def _(spark, sf):
     """(part, idx, cluster): the points of each label annealed on their own, all labels together; each part splits in two at most."""
-    e = inputs.vectors(spark, sf).join(inputs.assignment(spark, sf), "idx")
-    parts = blocks.part_blocks(e.select(F.col("cluster").alias("part"), "idx", "vector"))
-    every = [r["part"] for r in parts.select("part").distinct().collect()]
+    e = inputs.vectors(spark, sf).join(inputs.assignment(spark, sf), "idx").select(F.col("cluster").alias("part"), "idx", "vector")
     fast = Options(max_clusters=2, initial_cooling=0.7, fine_cooling=0.85, converging_cooling=0.7, wait_iterations=2, minimum_count=5, freezing_limit=0.01)
-    return at.anneal_parts(parts, dict.fromkeys(every, fast))[0]
+    return anneal_vectors.anneal_parts(e, fast)[0]

@@ -86,7 +86,25 @@ def point_sums(vectors: DataFrame, points: DataFrame, cuts: Cuts = Cuts()) -> Da
         return np.zeros(1), np.stack([ok.sum(axis=1), (d * ok).sum(axis=1), (mds * ok).sum(axis=1)], axis=1)[:, None]
 
     sums = blocks.fold(_own(vectors, points), of, ["links", "s", "mds"]).where("links > 0")
-    return sums.select(F.col("part").alias("cluster"), "idx", F.col("links").cast("long").alias("links"), F.col("s").cast("long").alias("s"), "mds")
+    # one row a point, also where points repeat an id
+    return sums.groupBy(F.col("part").alias("cluster"), "idx").agg(F.sum("links").cast("long").alias("links"), F.sum("s").cast("long").alias("s"), F.sum("mds").alias("mds"))
+
+
+def near_counts(vectors: DataFrame, points: DataFrame, radius: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
+    """(cluster, bucket, idx, near): a point's pairs of ``links`` within each radius of its cluster, counted where their blocks are made; points with none are left out.
+
+    radius(cluster, bucket, radius) has the buckets 0, 1, ... of each cluster with a pair.
+    """
+    own = radius.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "radius"))), lambda x: x["radius"]).alias("radii"))
+    buckets = own.agg(F.max(F.size("radii"))).first()[0] or 0
+
+    def of(d: np.ndarray, i: blocks.Side, j: blocks.Side) -> tuple[np.ndarray, np.ndarray]:
+        ok, dist = _kept(cuts, d, i, j), d / 32767.0
+        return np.arange(buckets), np.stack([(ok & (dist <= r)).sum(axis=1) for r in i.extra[0, 4:]], axis=1)[:, :, None].astype(np.float64)
+
+    sent = _own(vectors, points.join(small(own), "cluster"), *(F.col("radii")[k] for k in range(buckets)))
+    near = blocks.fold(sent, of, ["near"]).where("near > 0")
+    return near.groupBy(F.col("part").alias("cluster"), F.col("k").alias("bucket"), "idx").agg(F.sum("near").cast("long").alias("near"))
 
 
 def euclid(a: str, b: str) -> Column:
@@ -106,21 +124,35 @@ def eligible(points: DataFrame, cuts: Cuts) -> DataFrame:
     return g.withColumn("link_cut", F.greatest(F.lit(1), F.least(F.lit(cuts.links), F.col("members") - 20)))
 
 
-def _per_point(pairs: DataFrame, points: DataFrame, cuts: Cuts) -> DataFrame:
-    """(cluster, idx, links, s, mds): sums over a point's cut pairs, where it has enough."""
-    g = pairs.groupBy("cluster", F.col("i").alias("idx")).agg(F.count(F.lit(1)).alias("links"), F.sum("d").alias("s"), F.sum("mds").alias("mds"))
-    return g.join(F.broadcast(eligible(points, cuts)), "cluster").where("links >= link_cut")
+def _pair_sums(pairs: DataFrame) -> DataFrame:
+    """``point_sums`` of pairs."""
+    return pairs.groupBy("cluster", F.col("i").alias("idx")).agg(F.count(F.lit(1)).alias("links"), F.sum("d").alias("s"), F.sum("mds").alias("mds"))
+
+
+def _enough(sums: DataFrame, points: DataFrame, cuts: Cuts) -> DataFrame:
+    """The sums of points that have enough cut pairs."""
+    return sums.join(F.broadcast(eligible(points, cuts)), "cluster").where("links >= link_cut")
 
 
 def by_mean_distance(pairs: DataFrame, points: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     """(cluster, idx, measure, rank): least mean distance to members."""
-    v = _per_point(pairs, points, cuts).select("cluster", "idx", (F.col("s").cast("double") / F.col("links") / 32767.0).alias("measure"))
+    return summed_mean_distance(_pair_sums(pairs), points, cuts)
+
+
+def summed_mean_distance(sums: DataFrame, points: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
+    """``by_mean_distance`` of ``point_sums``."""
+    v = _enough(sums, points, cuts).select("cluster", "idx", (F.col("s").cast("double") / F.col("links") / 32767.0).alias("measure"))
     return k_smallest(v, ["cluster"], "measure", "idx", cuts.centers)
 
 
 def by_mds_distance(pairs: DataFrame, points: DataFrame, cuts: Cuts = Cuts(), digits: int = 9) -> DataFrame:
     """Least mean 3-D distance, over the links of the point; rounded before ranking so that summation order cannot change ranks."""
-    v = _per_point(pairs, points, cuts).select("cluster", "idx", F.round(F.col("mds") / F.col("links"), digits).alias("measure"))
+    return summed_mds_distance(_pair_sums(pairs), points, cuts, digits)
+
+
+def summed_mds_distance(sums: DataFrame, points: DataFrame, cuts: Cuts = Cuts(), digits: int = 9) -> DataFrame:
+    """``by_mds_distance`` of ``point_sums``."""
+    v = _enough(sums, points, cuts).select("cluster", "idx", F.round(F.col("mds") / F.col("links"), digits).alias("measure"))
     return k_smallest(v, ["cluster"], "measure", "idx", cuts.centers)
 
 
@@ -149,9 +181,14 @@ def summed_mds_mean(sums: DataFrame) -> DataFrame:
 
 def distance_histogram(pairs: DataFrame, bins: int = RADIUS_BINS) -> DataFrame:
     """(cluster, bin, n): equal bins of [0, max] of the cluster; the maximum falls into the last."""
-    top = F.broadcast(pairs.groupBy("cluster").agg(F.max("d").alias("top")))
-    bin_of = F.least(F.floor(F.col("d") * F.lit(bins) / F.greatest(F.col("top"), F.lit(1))), F.lit(bins - 1)).cast("int")
-    return pairs.join(top, "cluster").groupBy("cluster", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return counted_histogram(pairs.withColumn("n", F.lit(1)), bins)
+
+
+def counted_histogram(counts: DataFrame, bins: int = RADIUS_BINS) -> DataFrame:
+    """``distance_histogram`` of (cluster, d, n)."""
+    top = F.broadcast(counts.groupBy("cluster").agg(F.max("d").alias("top")))
+    bin_of = F.least(F.floor(F.col("d").cast("long") * F.lit(bins) / F.greatest(F.col("top"), F.lit(1))), F.lit(bins - 1)).cast("int")
+    return counts.join(top, "cluster").groupBy("cluster", bin_of.alias("bin")).agg(F.sum("n").alias("n"))
 
 
 def radii(hist: DataFrame, stats: DataFrame, fractions: list[float], bins: int = RADIUS_BINS) -> DataFrame:
@@ -173,6 +210,11 @@ def radii(hist: DataFrame, stats: DataFrame, fractions: list[float], bins: int =
 def by_bucket(pairs: DataFrame, points: DataFrame, radius: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     """(cluster, bucket, idx, measure, rank): most members within the radius, as members less that count; points with none are left out."""
     near = pairs.join(F.broadcast(radius), "cluster").where(F.col("dist") <= F.col("radius")).groupBy("cluster", "bucket", F.col("i").alias("idx")).agg(F.count(F.lit(1)).alias("near"))
+    return counted_bucket(near, points, cuts)
+
+
+def counted_bucket(near: DataFrame, points: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
+    """``by_bucket`` of ``near_counts``."""
     v = near.join(F.broadcast(eligible(points, cuts)), "cluster").select("cluster", "bucket", "idx", (F.col("members") - F.col("near")).alias("measure"))
     return k_smallest(v, ["cluster", "bucket"], "measure", "idx", cuts.centers)
 
@@ -204,6 +246,12 @@ def center_distances(top: DataFrame, cells: DataFrame) -> DataFrame:
     return d.groupBy("cluster", F.col("i").alias("idx")).agg((F.sum(F.col("d").cast("long")).cast("double") / F.count(F.lit(1)) / 32767.0).alias("mean_other"), F.coalesce(first, F.lit(0.0)).alias("to_top"))
 
 
+def center_cells(top: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(i, j, d) between the centers of a cluster, the only cells that ``center_distances`` reads."""
+    chosen = top.select("idx", F.col("cluster").alias("part"))
+    return blocks.part_cells(vectors.join(small(chosen), "idx")).drop("part")
+
+
 def center_lines(top: DataFrame, method: str, points: DataFrame) -> DataFrame:
     """(cluster, rank, line): the center file's lines without their date."""
     named = top.join(points.select("idx", "name", "length"), "idx", "left")

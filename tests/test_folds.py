@@ -118,3 +118,44 @@ def test_rows_are_not_put_together_to_be_cut(spark):
     """q93 groups no slices: the only shuffles are those of packs and of the points' places."""
     made = plan(catalog.QUERIES["q93_extract_rows"](spark, SF))
     assert "collect_list" not in made and "Generate posexplode" not in made
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["q56_histogram"])
+def test_no_center_query_makes_pairs(spark, monkeypatch, name):
+    from frostline.operators import centers as c
+    from frostline.plans import inputs
+
+    def pairs(*_):
+        raise AssertionError(f"{name} makes pairs of all points")
+
+    monkeypatch.setattr(c, "links", pairs)
+    monkeypatch.setattr(inputs, "cells", pairs)
+    spark.catalog.clearCache()
+    made = catalog.QUERIES[name](spark, SF)
+    assert "InMemoryTableScan" not in made._jdf.queryExecution().toString() and made.limit(1).count() == 1
+
+
+@pytest.mark.parametrize("cut", [{}, {"min_distance": 0.3, "length_a": 200, "length_b": 300}], ids=str)
+def test_centers_of_sums_equal_those_of_pairs(spark, vectors, cut):
+    """Ids with gaps, a repeated one, a point without a cluster, some without a length, and a cluster of one point."""
+    from frostline.operators import centers as c
+
+    rng, cuts = np.random.default_rng(4), c.Cuts(**cut)
+    rows = [(int(i), 7 if at == 5 else at % 3 if at else None, None if at % 7 == 0 else int(rng.integers(100, 500)), *rng.random(3).tolist()) for at, i in enumerate(IDS)]
+    points = spark.createDataFrame([*rows, (*rows[9][:2], 400, *rows[9][3:])], "idx int, cluster int, length int, x double, y double, z double").persist()
+    cells = distance.from_vectors(vectors).persist()
+    pairs = c.links(cells, points, cuts).persist()
+    flat = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    sums, counts = c.point_sums(vectors, points, cuts), c.distance_counts(vectors, points, cuts)
+    mean = c.by_mean_distance(pairs, points, cuts)
+    assert flat(c.summed_mean_distance(sums, points, cuts)) == flat(mean)
+    assert flat(c.summed_mds_distance(sums, points, cuts)) == flat(c.by_mds_distance(pairs, points, cuts))
+    assert flat(c.counted_histogram(counts)) == flat(c.distance_histogram(pairs))
+    radius = c.radii(c.counted_histogram(counts), c.counted_stats(counts), [0.15, 0.4, 0.75])
+    assert flat(radius) == flat(c.radii(c.distance_histogram(pairs), c.group_stats(pairs), [0.15, 0.4, 0.75]))
+    assert flat(c.counted_bucket(c.near_counts(vectors, points, radius, cuts), points, cuts)) == flat(c.by_bucket(pairs, points, radius, cuts))
+    assert flat(c.center_distances(mean, c.center_cells(mean, vectors))) == flat(c.center_distances(mean, cells))
+    none = points.where("cluster = 7")
+    assert not c.near_counts(vectors, none, c.radii(c.counted_histogram(c.distance_counts(vectors, none, cuts)), c.counted_stats(c.distance_counts(vectors, none, cuts)), [0.5]), cuts).count()
+    points.unpersist(), cells.unpersist(), pairs.unpersist()

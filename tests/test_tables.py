@@ -174,3 +174,20 @@ def test_matrices_made_from_vectors_in_each_product(spark, monkeypatch, parts):
     w = np.arange(140.0).reshape(70, 2)
     assert np.allclose(made.times(w), matrix(x) @ w * UNIT)
     made.close()
+
+
+def test_tiles_made_from_vectors_do_not_follow_their_number(spark, monkeypatch):
+    """Twice the vectors meet as many tiles, each pair of packs is one tile, and only right-hand sides are sent to it."""
+    monkeypatch.setattr(blocks, "SIDE", 16)
+    monkeypatch.setattr(at, "TILE_POINTS", 16)
+    tiles = []
+    for n in (96, 192):
+        x = cloud(8, n, 2)
+        made = at.BlockMatrices.of_vectors(vectors(spark, x), dense_bytes=0)
+        tiles.append(made.grid.count())
+        packs = -(-n // (made.side * made.per_tile))
+        assert tiles[-1] == packs * (packs + 1) // 2
+        w = np.random.default_rng(n).random((n, 3))
+        assert np.allclose(made.times(w), matrix(x) @ w * UNIT)
+        made.close()
+    assert tiles[0] == tiles[1]

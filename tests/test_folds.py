@@ -159,3 +159,23 @@ def test_centers_of_sums_equal_those_of_pairs(spark, vectors, cut):
     none = points.where("cluster = 7")
     assert not c.near_counts(vectors, none, c.radii(c.counted_histogram(c.distance_counts(vectors, none, cuts)), c.counted_stats(c.distance_counts(vectors, none, cuts)), [0.5]), cuts).count()
     points.unpersist(), cells.unpersist(), pairs.unpersist()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_merged_half_joins_nothing_to_its_blocks(spark):
+    """q78 makes each block of its half once, where it is turned, and neither joins nor shuffles blocks."""
+    made = catalog.QUERIES["q78_block_merge"](spark, SF)
+    assert "LeftOuter" not in plan(made) and "LeftAnti" not in plan(made) and plan(made).count("MapInArrow") == 3
+
+
+def test_half_of_the_blocks_and_their_numbers(spark, vectors):
+    half, numbers = blocks.half_blocks(vectors, 16)
+    cut = lambda df: sorted((r["gi"], r["gj"], bytes(r["i"]), bytes(r["j"]), bytes(r["d"])) for r in df.collect())
+    assert cut(half) == cut(blocks.distance_blocks(vectors, 16).where("gi <= gj"))
+    assert {tuple(r) for r in numbers.collect()} == {(r["gi"], r["gj"]) for r in half.collect()}
+    whole = cut(blocks.distance_blocks(vectors, 16).where("gi <> 1 and gj <> 1"))
+    assert cut(blocks.merge(half, [1], numbers)) == cut(blocks.merge(half, [1])) == whole
+    both = half.unionByName(blocks.distance_blocks(vectors, 16).where("gi = 2 and gj = 0"))  # one pair in both forms, the others in one
+    assert cut(blocks.merge(both, [1])) == whole
+    with pytest.raises(ValueError, match="missing"):
+        blocks.merge(half, [1], numbers.where("not (gi = 0 and gj = 3)"))
